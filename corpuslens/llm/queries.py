@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import table
+from corpuslens.llm.ngram_join import near_components
 from corpuslens.llm.source_mix import mix_sources
+from corpuslens.llm.token_count import count_tokens
 from corpuslens.llm.url_filter import JUNK_RULES, LIST_RULES, judge_urls
 
 QUERIES = {}
@@ -79,3 +81,36 @@ select doc_id, size, source_size, target,
   (epochs * size + greatest(0, least(size, budget - epochs * source_size - before)))::bigint as taken
 from passes
 """
+
+
+def tokenizer(name: str) -> str:
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
+@query
+def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
+
+
+@query
+def op10_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_components(table(spark, sf_dir, "documents"))
+
+
+ORACLES["op10_ngram_join"] = r"""
+with recursive words as (
+  select doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') as w
+  from documents),
+grams as (
+  select distinct doc_id, array_to_string(w[i:i + 4], ' ') as g
+  from (select doc_id, w, unnest(range(1, greatest(1, len(w) - 4) + 1)) as i from words where len(w) > 0)),
+sizes as (select doc_id, count(*) as n from grams group by doc_id),
+pairs as (select a.doc_id as x, b.doc_id as y, count(*) as shared from grams a join grams b on a.g = b.g and a.doc_id <> b.doc_id group by all),
+links as (select x, y from pairs join sizes p on p.doc_id = x join sizes q on q.doc_id = y where 100 * shared >= 80 * (p.n + q.n - shared)),
+reach as (select doc_id as x, doc_id as y from documents union select reach.x, links.y from reach join links on links.x = reach.y),
+least as (select x, min(y) as component_id from reach group by x)
+select d.doc_id, coalesce(n, 0) as n_shingles, component_id
+from documents d left join sizes s on s.doc_id = d.doc_id join least on least.x = d.doc_id
+"""
