@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm.common import table
 from corpuslens.llm.ngram_join import near_components
+from corpuslens.llm.pii import detect
 from corpuslens.llm.source_mix import mix_sources
 from corpuslens.llm.token_count import count_tokens
 from corpuslens.llm.url_filter import JUNK_RULES, LIST_RULES, judge_urls
@@ -114,3 +115,8 @@ least as (select x, min(y) as component_id from reach group by x)
 select d.doc_id, coalesce(n, 0) as n_shingles, component_id
 from documents d left join sizes s on s.doc_id = d.doc_id join least on least.x = d.doc_id
 """
+
+
+@query
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return detect(table(spark, sf_dir, "documents"))
