@@ -10,9 +10,11 @@ from corpuslens.llm.common import table
 from corpuslens.llm.language_id import identify_language
 from corpuslens.llm.ngram_join import near_components
 from corpuslens.llm.pii import detect
+from corpuslens.llm.sentencepiece_codec import encode
 from corpuslens.llm.source_mix import mix_sources
 from corpuslens.llm.token_count import count_tokens
 from corpuslens.llm.url_filter import JUNK_RULES, LIST_RULES, judge_urls
+from corpuslens.llm.warc_fixity import DATE, audit, faulty, response_record
 
 QUERIES = {}
 ORACLES: dict[str, str] = {}
@@ -149,3 +151,40 @@ select query_id, rank, vec_id, score from best where rank <= 5
 @query
 def op7_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0, k=5)
+
+
+@query
+def op3_warc_fixity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pages as archived records against a replica with planted faults."""
+    pages = table(spark, sf_dir, "pages")
+    key = F.col("page_id")
+    records = pages.select("page_id", response_record(key, F.col("url"), F.col("html")).alias("record"))
+    found = audit(records.withColumn("replica", faulty(F.col("record"), key)), key="page_id", record="record", replica="replica")
+    return found.select(F.col("key").alias("page_id"), "archive", "position", "offset", "length", "digest", "status")
+
+
+ORACLES["op3_warc_fixity"] = f"""
+with http as (
+  select page_id, coalesce(url, '') as url, md5(concat_ws('|', page_id::varchar, url)) as name,
+    'HTTP/1.1 200 OK' || chr(13) || chr(10) || 'Content-Type: text/html; charset=utf-8' || chr(13) || chr(10) || chr(13) || chr(10) || coalesce(html, '') as body
+  from pages),
+records as (
+  select page_id, array_to_string(['WARC/1.0', 'WARC-Type: response',
+      'WARC-Record-ID: <urn:uuid:' || name[1:8] || '-' || name[9:12] || '-' || name[13:16] || '-' || name[17:20] || '-' || name[21:32] || '>',
+      'WARC-Target-URI: ' || url, 'WARC-Date: {DATE}', 'Content-Type: application/http; msgtype=response',
+      'Content-Length: ' || strlen(body)], chr(13) || chr(10)) || repeat(chr(13) || chr(10), 2) || body || repeat(chr(13) || chr(10), 2) as record
+  from http),
+leaves as (
+  select page_id, strlen(record) as length, sha256(record) as digest, ('0x' || md5(coalesce(page_id::varchar, ''))[1:8])::bigint as pick,
+    ('0x' || sha256(record)[1:8])::bigint % greatest(1, ceil((select count(*) from pages) / 4096.0)::bigint) as archive
+  from records)
+select page_id, archive, row_number() over w - 1 as position,
+  coalesce(sum(length) over (partition by archive order by page_id nulls first, digest rows between unbounded preceding and 1 preceding), 0)::bigint as "offset",
+  length, digest, case when pick % 997 = 5 then 'missing' when pick % 499 = 3 then 'corrupt' else 'ok' end as status
+from leaves window w as (partition by archive order by page_id nulls first, digest)
+"""
+
+
+@query
+def op4_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return encode(table(spark, sf_dir, "documents"), tokenizer("piece_bpe_32k.model"))
