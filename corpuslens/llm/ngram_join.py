@@ -7,11 +7,13 @@ with equal sets form a class; classes are joined.
    ``2**bits`` counters; the summed counters, rounded to steps of an eighth octave in one
    byte each, give the global order (rare first, then by fingerprint). The table covers
    all documents; its size is fixed by ``bits`` and it is all that the driver holds.
-2. *Candidates.* In that order, two sets with Jaccard similarity t or more share one of
-   the first ``n - ceil(t * n) + 1`` n-grams of each. Classes that share such an n-gram
-   are chained, n-gram by n-gram, and the connected components of these chains are the
-   candidate clusters: every link lies inside a cluster. Chains of n-grams that the
-   counters call frequent are salted.
+2. *Candidates.* In that order, two sets with Jaccard similarity t or more share at least
+   l of the first ``n - ceil(t * n) + l`` n-grams of the one whose prefix ends first. With
+   l a tenth of a set, a set whose prefix shares fewer n-grams than the smallest partner's
+   l, with anybody, has no link and goes. Classes that still share an n-gram are chained,
+   n-gram by n-gram, and the connected components of these chains are the candidate
+   clusters: every link lies inside a cluster. Chains of n-grams that the counters call
+   frequent are salted.
 3. *Trees.* The sets of a cluster meet in one task. There they are ordered by the
    cluster's own frequencies and stored in a prefix tree. Each set walks the tree, sharing
    the overlaps of common prefixes; a subtree is left where the remaining lengths cannot
@@ -50,6 +52,8 @@ HOT = 20_000
 UNIT_SETS = 1_000
 UNIT_GRAMS = 2_000_000
 PIVOTS = 32
+#: Rows (of 48 bytes) that may be broadcast.
+SENT_ROWS = 500_000
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -201,19 +205,28 @@ def frequency_order(profiles: DataFrame, bits: int) -> np.ndarray:
     return order
 
 
-def prefix_size(n: int, percent: int) -> int:
-    return n - (percent * n + 99) // 100 + 1
+def least_shared(n: int, extra: int) -> int:
+    """How many n-grams of its prefix a set of n shares with each partner of its size or more."""
+    return max(1, extra * n // 100)
 
 
-def _prefixes(n: int, bits: int, percent: int, order):
-    """(gram, salt, node) for the prefix of every set; a set once a task."""
+def smallest_partner(n: int, percent: int) -> int:
+    return (percent * n + 99) // 100
+
+
+def prefix_size(n: int, percent: int, extra: int) -> int:
+    return n - smallest_partner(n, percent) + least_shared(n, extra)
+
+
+def _prefixes(n: int, bits: int, percent: int, extra: int, order):
+    """(gram, salt, node, need) for the prefix of every set; a set once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank, seen = Shingler(n), order.value, set()
         hot = int(8 * np.log2(1.0 + HOT))
         for batch in batches:
             for _, _, texts in _texts(batch, "text"):
-                grams, salts, nodes = [], [], []
+                grams, salts, nodes, needs = [], [], [], []
                 sets = shingler.sets(texts)
                 for s, node in zip(sets, set_names(sets).tolist(), strict=True):
                     if not len(s) or node in seen:
@@ -221,15 +234,16 @@ def _prefixes(n: int, bits: int, percent: int, order):
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add(node)
-                    p = prefix_size(len(s), percent)
+                    p = min(len(s), prefix_size(len(s), percent, extra))
                     often = rank[(s >> U(64 - bits)).astype(np.int64)]
                     first = np.argsort(often, kind="stable")[:p]
                     grams.append(s[first].view(np.int64))
                     ways = np.where(often[first] >= hot, np.exp2(np.maximum(0, often[first].astype(np.int64) - hot) / 8).astype(np.int64) * 2, 0)
                     salts.append(np.where(ways > 0, 1 + node % np.maximum(ways, 1), 0))
                     nodes.append(np.full(p, node, np.int64))
+                    needs.append(np.full(p, least_shared(smallest_partner(len(s), percent), extra), np.int32))
                 if grams:
-                    yield pa.record_batch([np.concatenate(grams), np.concatenate(salts).astype(np.int32), np.concatenate(nodes)], names=["gram", "salt", "node"])
+                    yield pa.record_batch([np.concatenate(grams), np.concatenate(salts).astype(np.int32), np.concatenate(nodes), np.concatenate(needs)], names=["gram", "salt", "node", "need"])
 
     return run
 
@@ -434,7 +448,15 @@ def _grams(n: int):
     return run
 
 
-def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, bits: int | None = None, unit_sets: int = UNIT_SETS, unit_grams: int = UNIT_GRAMS, pivots: int = PIVOTS) -> DataFrame:
+def _units(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
+    """The sets of the members' documents; few members are sent to the texts."""
+    if members.count() <= SENT_ROWS:
+        members = F.broadcast(members)
+    texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep").select(*KEPT, "text")
+    return texts.mapInArrow(_grams(n), "node long, cluster long, m long, blocks long, grams binary")
+
+
+def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, extra: int = 10, bits: int | None = None, unit_sets: int = UNIT_SETS, unit_grams: int = UNIT_GRAMS, pivots: int = PIVOTS) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Documents are linked if ``100 * |intersection| >= percent * |union|``; component_id is
@@ -443,33 +465,32 @@ def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
     if bits is None:
-        bits = int(np.clip(17 + np.ceil(np.log2(max(1, plain.rdd.getNumPartitions()))), 18, 26))
+        bits = int(np.clip(16 + np.ceil(np.log2(max(1, plain.rdd.getNumPartitions()))), 18, 24))
     as_bytes = plain.select("doc_id", F.col("text").cast("binary").alias("text"))
     profiles = written(as_bytes.mapInArrow(_profiles(n, bits), PROFILE), "profiles")
-    order = spark.sparkContext.broadcast(frequency_order(profiles, bits))  # 2**bits bytes, 64 MB at most
+    order = spark.sparkContext.broadcast(frequency_order(profiles, bits))  # 2**bits bytes, 16 MB at most
     rows = profiles.filter("part IS NULL").select("doc_id", "n", "node")
     classes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
 
-    entries = as_bytes.select("text").mapInArrow(_prefixes(n, bits, percent, order), "gram long, salt int, node long")
+    entries = as_bytes.select("text").mapInArrow(_prefixes(n, bits, percent, extra, order), "gram long, salt int, node long, need int")
     chain = Window.partitionBy("gram", "salt").orderBy("node")
-    chained = entries.withColumn("prev", F.lag("node").over(chain)).filter("prev IS NULL AND salt > 0 OR prev <> node")
-    chained = written(chained, "chained")
+    near = entries.withColumn("prev", F.lag("node").over(chain)).withColumn("next", F.lead("node").over(chain))
+    shared = written(near.filter("salt > 0 OR prev <> node OR next <> node").select("gram", "salt", "node", "need"), "shared")
+    kept = shared.groupBy("node").agg(F.count("*").alias("held"), F.max("need").alias("need")).filter("held >= need").select("node")
+    chained = shared.select("gram", "salt", "node").join(kept, "node").withColumn("prev", F.lag("node").over(chain))
+    chained = written(chained.filter("prev <> node OR prev IS NULL AND salt > 0"), "chained")
     heads = chained.filter("prev IS NULL").withColumn("prev", F.lag("node").over(Window.partitionBy("gram").orderBy("node", "salt")))
     edges = chained.unionByName(heads).filter("prev <> node").select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
     clusters = components(edges)
 
-    members = written(clusters.withColumnRenamed("comp", "cluster").join(classes.filter("rep IS NOT NULL"), "node"), "members")
+    members = clusters.withColumnRenamed("comp", "cluster").join(classes.filter("rep IS NOT NULL"), "node")
     sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("m > 1")
     blocks = F.ceil(F.greatest(F.col("m") / unit_sets, F.col("all") / unit_grams)).cast("long")
-    wanted = members.drop("n").join(sizes.select("cluster", "m", blocks.alias("blocks")), "cluster")
-    texts = as_bytes.withColumnRenamed("doc_id", "rep").join(wanted, "rep").select("node", "cluster", "m", "blocks", "text")
-    sets = written(texts.mapInArrow(_grams(n), "node long, cluster long, m long, blocks long, grams binary"), "sets")
-
-    small = sets.filter("blocks = 1").select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "node", F.lit(True).alias("ask"), "grams")
-    links = written(_links(small, percent), "links")
-    large = sets.filter("blocks > 1")
+    members = written(members.drop("n").join(sizes.select("cluster", "m", blocks.alias("blocks")), "cluster"), "members")
+    links = written(_links(_units(as_bytes, members.filter("blocks = 1"), n).select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "node", F.lit(True).alias("ask"), "grams"), percent), "links")
+    large = members.filter("blocks > 1")
     if large.limit(1).count():
-        links = links.unionByName(_large_links(large, percent, unit_sets, pivots))
+        links = links.unionByName(_large_links(written(_units(as_bytes, large, n), "large"), percent, unit_sets, pivots))
     joined = components(links)
 
     known = classes.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
