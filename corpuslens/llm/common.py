@@ -17,6 +17,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def tokenizer(name: str) -> str:
+    """The path of a public tokenizer's file."""
+    import public_tokenizers
+
+    return public_tokenizers.path(name)
+
+
 def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share, from ``spark.checkpoint.dir``.
 
@@ -57,12 +64,6 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def discard(df: DataFrame) -> None:
-    """Remove the files of a table that :func:`written` made and nobody reads any more."""
-    for f in {x.rpartition("/")[0] for x in df.inputFiles()}:
-        _remove(df.sparkSession, f)
-
-
 def chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to ``most`` or little more; a large row is alone."""
     start, total = 0, 0

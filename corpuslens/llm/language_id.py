@@ -153,7 +153,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
-            for i, j, vectors in encoder.batches(batch.column(text).to_pylist()):
+            for i, j, vectors in encoder.batches(batch.column(len(keep)).to_pylist()):
                 norm = np.linalg.norm(vectors, axis=1)
                 if unit is None:
                     best, score = np.zeros(j - i, np.int64), np.zeros(j - i)
@@ -167,7 +167,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[
                 kept = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
                 yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(np.where(found, score, 0.0))], names=[*keep, "lang_pred", "score"])
 
-    rows = docs.select(*keep, text)
+    rows = docs.select(*keep, F.col(text).alias("__text"))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
     return rows.mapInArrow(run, ", ".join([*types, "lang_pred string", "score double"]))
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from corpuslens.llm import ann, topk
-from corpuslens.llm.common import table
+from corpuslens.llm.common import table, tokenizer
 from corpuslens.llm.language_id import identify_language
 from corpuslens.llm.ngram_join import near_components
 from corpuslens.llm.pii import detect
@@ -88,12 +88,6 @@ from passes
 """
 
 
-def tokenizer(name: str) -> str:
-    import public_tokenizers
-
-    return public_tokenizers.path(name)
-
-
 @query
 def op8_token_count(spark: SparkSession, sf_dir: str) -> DataFrame:
     return count_tokens(table(spark, sf_dir, "documents"), tokenizer("byte_bpe_50k.json"))
