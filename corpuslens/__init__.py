@@ -1 +1,9 @@
 """Spark-native search and profiling of large text and log corpora."""
+
+import sys
+
+from pyspark import cloudpickle
+
+# Functions of this package travel to the executors by value, so a cluster needs no
+# installed copy of it.
+cloudpickle.register_pickle_by_value(sys.modules[__name__])
