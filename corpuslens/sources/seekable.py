@@ -22,7 +22,8 @@ from corpuslens.sources import codecs
 #: Fixed values of the seekable format.
 FOOTER_MAGIC = 0x8F92EAB1
 SKIPPABLE_MAGIC = 0x184D2A5E
-FOOTER = struct.Struct("<IBI")  # frames, descriptor, magic
+FOOTER = "<IBI"  # frames, descriptor, magic
+FOOTER_SIZE = 9
 CHECKSUM_FLAG = 0x80
 FRAME_SCHEMA = "file string, frame int, compressed_offset long, compressed_size long, decoded_offset long, decoded_size long"
 LINES = "file string, line_no long, byte_offset long, n_bytes long, line string, frame int"
@@ -40,25 +41,25 @@ class Frame:
 def is_seekable(path: str) -> bool:
     """A ``.zst`` file that ends in the footer's magic number."""
     try:
-        if not path.lower().endswith((".zst", ".zstd")) or os.path.getsize(path) < FOOTER.size:
+        if not path.lower().endswith((".zst", ".zstd")) or os.path.getsize(path) < FOOTER_SIZE:
             return False
         with open(path, "rb") as f:
-            f.seek(-FOOTER.size, os.SEEK_END)
-            return FOOTER.unpack(f.read())[2] == FOOTER_MAGIC
+            f.seek(-FOOTER_SIZE, os.SEEK_END)
+            return struct.unpack(FOOTER, f.read())[2] == FOOTER_MAGIC
     except OSError:
         return False
 
 
 def parse_table(tail: bytes) -> list[Frame]:
     """Frames from the end of a file; ValueError if that holds no whole table."""
-    if len(tail) < FOOTER.size:
+    if len(tail) < FOOTER_SIZE:
         raise ValueError("no seek table")
-    count, descriptor, magic = FOOTER.unpack(tail[-FOOTER.size :])
+    count, descriptor, magic = struct.unpack(FOOTER, tail[-FOOTER_SIZE :])
     entry = 12 if descriptor & CHECKSUM_FLAG else 8
     size = count * entry
-    if magic != FOOTER_MAGIC or len(tail) < size + FOOTER.size:
+    if magic != FOOTER_MAGIC or len(tail) < size + FOOTER_SIZE:
         raise ValueError("no seek table")
-    table = tail[len(tail) - FOOTER.size - size : len(tail) - FOOTER.size]
+    table = tail[len(tail) - FOOTER_SIZE - size : len(tail) - FOOTER_SIZE]
     frames, compressed, decoded = [], 0, 0
     for i in range(count):
         c, d = struct.unpack_from("<II", table, i * entry)
@@ -70,11 +71,11 @@ def parse_table(tail: bytes) -> list[Frame]:
 def read_table(path: str) -> list[Frame]:
     size = os.path.getsize(path)
     with open(path, "rb") as f:
-        f.seek(max(0, size - FOOTER.size))
-        count, descriptor, magic = FOOTER.unpack(f.read(FOOTER.size)) if size >= FOOTER.size else (0, 0, 0)
+        f.seek(max(0, size - FOOTER_SIZE))
+        count, descriptor, magic = struct.unpack(FOOTER, f.read(FOOTER_SIZE)) if size >= FOOTER_SIZE else (0, 0, 0)
         if magic != FOOTER_MAGIC:
             raise ValueError(f"no seek table: {path}")
-        need = count * (12 if descriptor & CHECKSUM_FLAG else 8) + FOOTER.size
+        need = count * (12 if descriptor & CHECKSUM_FLAG else 8) + FOOTER_SIZE
         f.seek(max(0, size - need))
         return parse_table(f.read())
 
@@ -119,7 +120,7 @@ def _pieces(data: bytes, size: int) -> Iterator[bytes]:
 
 def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     """The skippable frame with the table of (compressed, decoded) sizes."""
-    body = b"".join(struct.pack("<II", c, d) for c, d in sizes) + FOOTER.pack(len(sizes), 0, FOOTER_MAGIC)
+    body = b"".join(struct.pack("<II", c, d) for c, d in sizes) + struct.pack(FOOTER, len(sizes), 0, FOOTER_MAGIC)
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
