@@ -18,15 +18,10 @@ from corpuslens.llm.ngram_join import near_components
 from corpuslens.llm.sentencepiece_codec import encode
 from corpuslens.llm.source_mix import mix_sources, repeat_documents
 
-#: A document's language is rejected if no letter was found or its cosine is below this:
-#: nothing in common with any language. Clean texts of three words reach about twice as much.
-LEAST_SCORE = 0.05
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a recognised language; unlabelled ones get the one predicted."""
+    """Documents with a recognised language (``und`` goes); unlabelled ones get the one predicted."""
     found = identify(docs, learn(docs), keep=tuple(docs.columns))
-    kept = found.filter((F.col("lang_pred") != "und") & (F.col("score") >= LEAST_SCORE))
+    kept = found.filter(F.col("lang_pred") != "und")
     return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
 
 
