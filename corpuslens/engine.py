@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import hashlib
 import os
 import time
 from collections.abc import Callable
@@ -13,10 +12,11 @@ from pyspark.sql import functions as F
 from corpuslens.functions import complexity
 from corpuslens.functions.patterns import Patterns
 from corpuslens.operators import context, frames, index, profile, samples
-from corpuslens.operators.trace import ordered, trace
+from corpuslens.operators.trace import add_submatches, ordered, trace
 from corpuslens.options import EngineOptions, SearchOptions
 from corpuslens.plans.cache import ProfileCache, TraceCache
 from corpuslens.plans.hooks import Hooks, call, deliver, file_events, match_events, request_id
+from corpuslens.plans.side_tables import SideTables
 from corpuslens.sources import codecs, files, seekable
 from corpuslens.sources.lines import lines_of_files
 
@@ -76,14 +76,10 @@ class Engine:
             rows = trace(lines, compiled)
         ids = {f: f"f{i}" for i, f in enumerate(found, 1)}
         best = ordered(rows, compiled)
-        matches = [{"pattern": r["pattern"], "file": ids[r["file"]], "offset": r["offset"], "absolute_line_number": r["line_no"], "line_text": r["line"]} for r in best.toLocalIterator()]
-        subs = {}
-        if not options.invert:
-            detailed = ordered(trace(lines, compiled, with_submatches=True), compiled)
-            for r in detailed.toLocalIterator():
-                subs[r["pattern"], ids[r["file"]], r["offset"]] = [s.asDict() for s in r["submatches"]]
-        for m in matches:
-            m["submatches"] = subs.get((m["pattern"], m["file"], m["offset"]), [])
+        matches = [
+            {"pattern": r["pattern"], "file": ids[r["file"]], "offset": r["offset"], "absolute_line_number": r["line_no"], "line_text": r["line"], "submatches": [x.asDict() for x in r["submatches"]]}
+            for r in add_submatches(best, compiled).toLocalIterator()
+        ]
         request = request_id()
         out = {"request_id": request, "patterns": compiled.ids, "files": {v: k for k, v in ids.items()}, "matches": matches, "scanned_files": found, "skipped_files": skipped, "max_results": options.max_results, "context_lines": {}}
         if options.before or options.after:
@@ -173,20 +169,20 @@ class Engine:
 
     def save_index(self, path: str, folder: str, step: int | None = None) -> str:
         """Write a file's checkpoints beside its size and time; the table's path."""
-        stat = os.stat(path)
-        name = f"{folder.rstrip('/')}/index/{hashlib.sha256(path.encode()).hexdigest()[:16]}"
-        rows = self.index(path, step).withColumn("size", F.lit(stat.st_size)).withColumn("modified", F.lit(stat.st_mtime))
-        rows.write.mode("overwrite").parquet(name)
-        return name
+        return SideTables(self.spark, folder).save("index", path, self.index(path, step))
 
     def load_index(self, path: str, folder: str) -> DataFrame | None:
         """The checkpoints of a file if they were saved for its present size and time."""
-        stat = os.stat(path)
-        name = f"{folder.rstrip('/')}/index/{hashlib.sha256(path.encode()).hexdigest()[:16]}"
-        if not os.path.exists(name):
-            return None
-        rows = self.spark.read.parquet(name).filter((F.col("size") == stat.st_size) & (F.col("modified") == stat.st_mtime))
-        return rows if rows.limit(1).count() else None
+        return SideTables(self.spark, folder).load("index", path)
+
+    def frames(self, path: str, folder: str) -> DataFrame:
+        """The frames of a framed file with their lines, from a side table or built."""
+
+        def build() -> DataFrame:
+            counts = self.spark.createDataFrame(seekable.count_lines(path), "frame int, lines int")
+            return frames.place_lines(seekable.frame_table(self.spark, [path]).join(counts, "frame"))
+
+        return SideTables(self.spark, folder).get_or_build("frames", path, build)
 
     def compress(self, source: str, target: str) -> dict:
         """Re-encode into frames; sizes, ratio and the frames' lines."""

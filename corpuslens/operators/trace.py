@@ -36,14 +36,16 @@ def trace(lines: DataFrame, patterns: Patterns, *, with_submatches: bool = False
     else:
         owned = hits.withColumn("pattern", F.explode(owners(F.col("line"), patterns)))
     out = owned.select("pattern", "file", F.col("byte_offset").alias("offset"), "line_no", "line")
-    if with_submatches:
-        none = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
-        found = none
-        if not patterns.options.invert:
-            for p, java in patterns.java.items():
-                found = F.when(F.col("pattern") == p, spans.submatches(F.col("line"), java)).otherwise(found)
-        out = out.withColumn("submatches", found)
-    return out
+    return add_submatches(out, patterns) if with_submatches else out
+
+
+def add_submatches(matches: DataFrame, patterns: Patterns) -> DataFrame:
+    """Match rows with the places of their pattern's matches; none for inverted searches."""
+    found = F.expr("cast(array() as array<struct<text:string,start:int,end:int>>)")
+    if not patterns.options.invert:
+        for p, java in patterns.java.items():
+            found = F.when(F.col("pattern") == p, spans.submatches(F.col("line"), java)).otherwise(found)
+    return matches.withColumn("submatches", found)
 
 
 def ordered(matches: DataFrame, patterns: Patterns | None = None, max_results: int | None = None) -> DataFrame:

@@ -19,6 +19,7 @@ from corpuslens.operators import index
 from corpuslens.operators.trace import trace
 from corpuslens.options import EngineOptions, SearchOptions
 from corpuslens.plans.cache import TraceCache
+from corpuslens.plans.side_tables import LineStore, SideTables
 from corpuslens.sources import codecs, files, seekable
 from corpuslens.sources.lines import lines_of, lines_of_files
 
@@ -203,6 +204,29 @@ def test_saved_index(engine, tmp_path):
     assert engine.load_index(str(path), str(tmp_path / "cache")) is None
 
 
+def test_side_tables_and_line_store(engine, spark, tmp_path):
+    tables, path = SideTables(spark, str(tmp_path / "side")), tmp_path / "s.txt"
+    path.write_text("a\nb\n")
+    assert tables.load("lines", str(path)) is None and tables.info("lines", str(path)) is None and tables.listing("lines") == []
+    assert tables.get_or_build("lines", str(path), lambda: engine.lines([str(path)])).count() == 2
+    assert tables.info("lines", str(path))["valid"] and tables.listing("lines") == [str(path)]
+    path.write_text("a\nb\nc\n")
+    assert not tables.info("lines", str(path))["valid"]
+    assert tables.delete("lines", str(path)) and not tables.delete("lines", str(path))
+    store = LineStore(spark, str(tmp_path / "store"), buckets=4)
+    store.save(lines_of(spark.createDataFrame([(f"f{i}", "\n".join(map(str, range(100)))) for i in range(5)], "file string, body string"), "file", "body"))
+    assert sorted(r["line"] for r in store.between("f3", 11, 13).collect()) == ["10", "11", "12"] and store.lines().count() == 500
+
+
+def test_frames_table(spark, tmp_path):
+    (tmp_path / "f.txt").write_text("".join(f"{i}\n" for i in range(500)))
+    engine = Engine(spark, EngineOptions(frame_bytes=300))
+    made = engine.compress(str(tmp_path / "f.txt"), str(tmp_path / "f"))
+    rows = engine.frames(made["path"], str(tmp_path / "side")).orderBy("frame").collect()
+    assert rows[0]["first_line"] == 1 and rows[-1]["last_line"] == 500 and len(rows) == made["frames"]
+    assert all(a["last_line"] + 1 == b["first_line"] for a, b in zip(rows, rows[1:]))
+
+
 def test_sandbox(tmp_path):
     inside, outside = tmp_path / "in", tmp_path / "out"
     inside.mkdir()
