@@ -2,7 +2,8 @@
 
 Language ID rejects documents; the n-gram join keeps one document of each group; personal
 data is replaced; sources are mixed to target weights, repeating documents; the texts that
-are left are encoded.
+are left are encoded. Further columns of documents pass through, whatever their names; only
+names that begin with two underscores are the stages' own.
 """
 
 from __future__ import annotations
@@ -20,9 +21,9 @@ from corpuslens.llm.source_mix import mix_sources, repeat_documents
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a recognised language (``und`` goes); unlabelled ones get the one predicted."""
-    found = identify(docs, learn(docs), keep=tuple(docs.columns))
-    kept = found.filter(F.col("lang_pred") != "und")
-    return kept.withColumn("lang", F.coalesce("lang", "lang_pred")).select(docs.columns)
+    found = identify(docs, learn(docs), keep=tuple(docs.columns), lang_as="__lang", score_as="__score")
+    kept = found.filter(F.col("__lang") != "und")
+    return kept.withColumn("lang", F.coalesce("lang", "__lang")).select(docs.columns)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,8 +42,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with their personal data replaced by marks."""
-    found = pii.find_spans(docs, pii.train(docs))
-    text = pii.redact(F.col("text"), F.col("spans"))
+    found = pii.find_spans(docs, pii.train(docs), base_as="__base", spans_as="__spans")
+    text = pii.redact(F.col("text"), F.col("__spans"))
     return found.withColumn("text", text).withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

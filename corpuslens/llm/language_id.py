@@ -145,7 +145,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     return dict(sorted(out.items()))
 
 
-def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[str, ...] = (), text: str = "text") -> DataFrame:
+def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[str, ...] = (), text: str = "text", lang_as: str = "lang_pred", score_as: str = "score") -> DataFrame:
     """(*keep, lang_pred, score) of every document."""
     names = [*prototypes]
     unit = np.stack([v / max(np.linalg.norm(v), 1e-9) for v in prototypes.values()]).astype(np.float32).T if names else None
@@ -165,11 +165,11 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[
                     found = norm > 0
                 langs = [names[k] if f else "und" for k, f in zip(best.tolist(), found.tolist(), strict=True)]
                 kept = [batch.column(k).slice(i, j - i) for k in range(len(keep))]
-                yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(np.where(found, score, 0.0))], names=[*keep, "lang_pred", "score"])
+                yield pa.record_batch([*kept, pa.array(langs, pa.string()), pa.array(np.where(found, score, 0.0))], names=[*keep, lang_as, score_as])
 
     rows = docs.select(*keep, F.col(text).alias("__text"))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
-    return rows.mapInArrow(run, ", ".join([*types, "lang_pred string", "score double"]))
+    return rows.mapInArrow(run, ", ".join([*types, f"`{lang_as}` string", f"`{score_as}` double"]))
 
 
 def identify_language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

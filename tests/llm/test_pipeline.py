@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import pytest
+from pyspark.sql import functions as F
 from test_ngram_join import brute as brute_groups
 from test_pii import brute as brute_spans
 
@@ -12,6 +13,8 @@ import corpus_pipeline as cp
 from corpuslens.llm.common import tokenizer
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
+#: Further columns named like those that the operators make.
+CLASH = ("score", "lang_pred", "base", "spans", "size", "key", "node", "component_id", "epochs", "ids")
 
 
 def rows():
@@ -36,7 +39,7 @@ def rows():
 def staged(spark, tmp_path_factory):
     """Each stage's result, written and reread as the driver does."""
     folder = tmp_path_factory.mktemp("pipeline")
-    docs = spark.createDataFrame(rows(), SCHEMA).repartition(3)
+    docs = spark.createDataFrame(rows(), SCHEMA).repartition(3).withColumns({c: F.lit("kept") for c in CLASH})
     out = [docs]
     for i, (_, stage) in enumerate(cp.STAGES):
         path = str(folder / str(i))
@@ -48,6 +51,7 @@ def staged(spark, tmp_path_factory):
 def test_order_and_columns(staged):
     assert [k for k, _ in cp.STAGES] == ["language ID", "n-gram join", "personal data", "source mix", "SentencePiece"]
     assert all(c == staged[1][0] for c in staged[1][:-1])
+    assert all(r[5:] == ("kept",) * len(CLASH) for x in staged[0][:-1] for r in x)
 
 
 def test_language_keeps_all_with_letters(staged):
@@ -67,7 +71,7 @@ def test_one_document_of_each_group_stays(staged):
 
 def test_personal_data_is_replaced(staged):
     before = {r[0]: r[1] for r in staged[0][2]}
-    for doc_id, text, _, _, n in staged[0][3]:
+    for doc_id, text, _, _, n, *_ in staged[0][3]:
         want, at = "", 0
         for a, b, k in sorted((a, b, k) for k, a, b in brute_spans(before[doc_id])):
             if a >= at:
