@@ -59,8 +59,12 @@ class Engine:
             out = out.unionByName(p)
         return out.withColumn("file", F.regexp_replace("file", "^file:/+", "/"))
 
-    def trace(self, paths: list[str], patterns: list[str], options: SearchOptions = SearchOptions(), *, hooks: Hooks = Hooks(), cache: TraceCache | None = None) -> dict:
-        """Matches over files and folders, with ids of patterns and files, and context."""
+    def trace(self, paths: list[str], patterns: list[str], options: SearchOptions = SearchOptions(), *, hooks: Hooks = Hooks(), cache: TraceCache | None = None, on_match: Callable[[dict], None] | None = None, on_file: Callable[[dict], None] | None = None) -> dict:
+        """Matches over files and folders, with ids of patterns and files, and context.
+
+        ``hooks`` are addresses that executors call; ``on_match`` and ``on_file`` are called
+        on the driver, in the order of the result.
+        """
         began = time.time()
         hooks.check(options.max_results)
         compiled = Patterns.of(self.spark, patterns, options)
@@ -86,6 +90,11 @@ class Engine:
             limited = best.select("pattern", "file", "offset", "line_no")
             around = context.groups(context.context(lines, limited, options.before, options.after).withColumn("file", F.element_at(F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)), F.col("file"))))
             out["context_lines"] = {r["key"]: [x.asDict() for x in r["lines"]] for r in around.toLocalIterator()}
+        for m in matches if on_match else ():
+            on_match(m)
+        if on_file:
+            for r in file_events(rows, listed, request).orderBy("file_path").toLocalIterator():
+                on_file(r.asDict())
         if hooks.on_match:
             deliver(match_events(best, request), hooks.on_match, self.options.hook_timeout_s)
         if hooks.on_file:
@@ -184,9 +193,9 @@ class Engine:
 
         return SideTables(self.spark, folder).get_or_build("frames", path, build)
 
-    def compress(self, source: str, target: str) -> dict:
+    def compress(self, source: str, target: str, progress: Callable[[int, int], None] | None = None) -> dict:
         """Re-encode into frames; sizes, ratio and the frames' lines."""
-        made = seekable.write(self.spark, source, target, self.options)
+        made = seekable.write(self.spark, source, target, self.options, progress)
         target = target if target.endswith(".zst") else f"{target}.zst"
         table = seekable.frame_table(self.spark, [target]) if made else None
         counts = self.spark.createDataFrame(seekable.count_lines(target) or [], "frame int, lines int")

@@ -46,3 +46,9 @@ def by_offset(lines: DataFrame, requests: DataFrame, before: int = 3, after: int
     found = by_line(lines, asked, before, after).select(F.col("file").alias("g"), F.col("value").alias("v"), "lines")
     both = at.join(found, (F.col("file") == F.col("g")) & (F.col("line_no") == F.col("v")), "left")
     return both.select("file", "value", "line_no", F.coalesce("lines", F.expr("cast(array() as array<string>)")).alias("lines"))
+
+
+def between(lines: DataFrame, file: str, start: int, count: int) -> DataFrame:
+    """``count`` lines of a file from line ``start`` on, in order."""
+    inside = (F.col("file") == file) & F.col("line_no").between(max(1, start), start + count - 1)
+    return lines.filter(inside).select("line_no", "line").orderBy("line_no")

@@ -84,3 +84,10 @@ def lines_of_files(spark: SparkSession, paths: list[str]) -> DataFrame:
     starts = sizes.select(F.col("file").alias("f"), F.col("block").alias("b"), F.coalesce(F.sum("lines").over(before), F.lit(0)).alias("lines_before"), F.coalesce(F.sum("bytes").over(before), F.lit(0)).alias("bytes_before"))
     joined = local.join(starts, (F.col("file") == F.col("f")) & (F.col("block") == F.col("b")))
     return joined.select("file", (F.col("line_no") + F.col("lines_before")).alias("line_no"), (F.col("byte_offset") + F.col("bytes_before")).alias("byte_offset"), "n_bytes", F.col("line").cast("string").alias("line"))
+
+
+def split_counts(spark: SparkSession, paths: list[str]) -> DataFrame:
+    """(file, splits): into how many parts the reader cuts each file."""
+    text = spark.read.option("lineSep", "\n").text(paths)
+    parts = text.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block")).distinct()
+    return parts.groupBy("file").agg(F.count("*").alias("splits"))

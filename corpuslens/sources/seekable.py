@@ -8,7 +8,7 @@ from __future__ import annotations
 
 import os
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
@@ -124,11 +124,11 @@ def seek_table(sizes: list[tuple[int, int]]) -> bytes:
     return struct.pack("<II", SKIPPABLE_MAGIC, len(body)) + body
 
 
-def write(spark: SparkSession, source: str, target: str, options: EngineOptions = EngineOptions()) -> list[Frame]:
+def write(spark: SparkSession, source: str, target: str, options: EngineOptions = EngineOptions(), progress: Callable[[int, int], None] | None = None) -> list[Frame]:
     """Re-encode a text or compressed file into frames of whole lines.
 
     Frames are encoded by parallel tasks; the driver appends them in order, one at a time,
-    and writes the table.
+    and writes the table. ``progress`` hears of (frames done, frames in all).
     """
     target = target if target.endswith(".zst") else f"{target}.zst"
     with open(source, "rb") as f:
@@ -151,6 +151,8 @@ def write(spark: SparkSession, source: str, target: str, options: EngineOptions
             for r in rows.mapInArrow(encode, "frame int, data binary, size long").orderBy("frame").toLocalIterator():
                 out.write(r["data"])
                 sizes.append((len(r["data"]), r["size"]))
+                if progress:
+                    progress(len(sizes), len(parts))
         out.write(seek_table(sizes))
     return read_table(target)
 

@@ -15,13 +15,15 @@ from pyspark.sql import functions as F
 from corpuslens import cli
 from corpuslens.engine import Engine
 from corpuslens.functions.patterns import Patterns, translate
+from corpuslens.functions.sql import register
 from corpuslens.operators import index
+from corpuslens.operators.samples import between
 from corpuslens.operators.trace import trace
 from corpuslens.options import EngineOptions, SearchOptions
 from corpuslens.plans.cache import TraceCache
 from corpuslens.plans.side_tables import LineStore, SideTables
 from corpuslens.sources import codecs, files, seekable
-from corpuslens.sources.lines import lines_of, lines_of_files
+from corpuslens.sources.lines import lines_of, lines_of_files, split_counts
 
 
 def plain(data: bytes):
@@ -171,6 +173,20 @@ def test_trace_samples_and_profile(engine, tmp_path):
         engine.trace([str(path)], ["(a+)+"])
 
 
+def test_callbacks_progress_and_sql(engine, spark, tmp_path):
+    path, seen, files_seen, steps = tmp_path / "t.log", [], [], []
+    path.write_text("".join(f"error {i}\n" for i in range(200)))
+    engine.trace([str(path)], ["error 1$"], on_match=seen.append, on_file=files_seen.append)
+    assert [m["line_text"] for m in seen] == ["error 1"] and files_seen[0]["matches_count"] == 1
+    Engine(spark, EngineOptions(frame_bytes=200)).compress(str(path), str(tmp_path / "o"), lambda a, b: steps.append((a, b)))
+    assert steps[-1][0] == steps[-1][1] == len(steps) > 1
+    assert split_counts(spark, [str(path)]).first()["splits"] == 1
+    assert [r["line"] for r in between(engine.lines([str(path)]), str(path), 3, 2).collect()] == ["error 2", "error 3"]
+    register(spark)
+    assert [tuple(r) for r in spark.sql("select * from text_lines('é\\nb\\n')").collect()] == [(1, 0, "é"), (2, 3, "b")]
+    assert spark.sql("select pattern_is_dangerous('(a+)+') as a, pattern_is_dangerous('a') as b").first().asDict() == {"a": True, "b": False}
+
+
 def test_checkpoints(spark):
     text = "".join("x" * 99 + "\n" for _ in range(100))
     lines = lines_of(spark.createDataFrame([("f", text)], "file string, body string"), "file", "body")
