@@ -85,7 +85,7 @@ def run_trace(engine: Engine, a: argparse.Namespace, flags: list[str]) -> tuple[
         raise ValueError("a pattern and a path are needed")
     wants = a.samples or a.context is not None or a.before is not None or a.after is not None
     options = SearchOptions.from_flags(flags, max_results=a.max_results, before=side(a.before, a.context, 3) if wants else 0, after=side(a.after, a.context, 3) if wants else 0)
-    cache = None if a.no_cache else TraceCache(engine.spark, engine.options.cache_dir)
+    cache = None if a.no_cache else TraceCache(engine.spark, f"file:{os.path.abspath(engine.options.cache_dir)}")
     out = engine.trace(paths, patterns, options, hooks=Hooks.chosen(Hooks(a.hook_on_file, a.hook_on_match, a.hook_on_complete)), cache=cache)
     rows = [f"{out['files'][m['file']]}:{m['absolute_line_number']}:{m['offset']} [{m['pattern']}] {m['line_text']}" for m in out["matches"]]
     for key in sorted(out["context_lines"]):
