@@ -38,7 +38,7 @@ from corpuslens.llm.common import chunks
 from corpuslens.llm.token_count import NO_RANK, PairTable
 
 MARK = "▁"
-CHUNK_CHARS = 1 << 22
+CHUNK_CHARS = 1 << 21
 CACHED = 300_000
 SLOT_BITS = 19
 #: Fixed values of the model file format.
@@ -334,8 +334,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
             for i, j in chunks([len(t) for t in texts], CHUNK_CHARS):
                 ids, sizes = codec.encode(texts[i:j])
                 ends = np.cumsum(sizes)
-                flat = ids.tolist()
-                same = [codec.decode(flat[e - n : e]) == t for t, e, n in zip(texts[i:j], ends.tolist(), sizes.tolist(), strict=True)]
+                same = [codec.decode(ids[e - n : e].tolist()) == t for t, e, n in zip(texts[i:j], ends.tolist(), sizes.tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
