@@ -1,17 +1,22 @@
-"""Approximate nearest neighbours by score-aware anisotropic quantisation.
+"""Nearest neighbours by score-aware anisotropic quantisation and a bound on its error.
 
 Vectors are scaled to length one, so that the largest cosine is the largest inner product.
 Each pair of components has a codebook of 16 centres (four bits). Codes and centres are
 fitted to the anisotropic loss |r|^2 + (eta - 1) (r . x)^2 of the residual r of a unit
 vector x: error along x changes the scores of the queries that matter, so it costs eta
 times as much as error across it. Codebooks are fitted on a bounded sample
-(``SAMPLE_ROWS``, by hash of the id); every row is encoded and kept, with its vector, in
-an index table.
+(``SAMPLE_ROWS``, by hash of the id); every row is encoded and kept, with its vector and
+the length of its coded vector along and across it, in an index table.
 
 A search takes the queries in blocks. For each, tables hold the products of the query's
 components with all centres, joined by pairs into 256 entries for a byte of two codes; the
-scan adds one entry a byte, and the best ``RERANK`` rows of every ``ROWS`` scanned are
-scored exactly, in double precision, on the original vectors.
+scan adds one entry a byte. The best ``RERANK`` rows of every ``ROWS`` scanned are scored
+exactly, in double precision, on the original vectors; they are a first batch and no cap.
+After it every other row that can still reach the k-th exact score t is scored too: a coded
+vector h x + w, with w across x, has with a query of cosine s the approximate score
+h s + w . q, and |w . q| is at most |w| sqrt(1 - s^2), so rows below the least of that for
+s >= t cannot. Near copies, which have nearly the same codes, all pass, and the result is
+that of brute force.
 
 Defined results: rows that :func:`corpuslens.llm.vectors.usable` leaves out, and zero
 vectors, take no part; rows with the query's id are not its candidates; repeated rows are
@@ -78,6 +83,13 @@ class Quantiser:
                 total = rest + along[:, m]
         return code
 
+    def spread(self, x: np.ndarray, code: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The lengths of the coded vectors along and across their unit vectors."""
+        coded = self.centres[np.arange(self.parts), code]
+        along = np.einsum("nmd,nmd->n", coded, self.split(x))
+        across = coded - along[:, None, None] * self.split(x)
+        return along, np.sqrt(np.einsum("nmd,nmd->n", across, across))
+
     def fit(self, x: np.ndarray, rounds: int = 6) -> Quantiser:
         rnd = np.random.default_rng(17)
         p = self.split(x)
@@ -109,11 +121,11 @@ class Quantiser:
 
 
 def build(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Quantiser | None]:
-    """The index table (vec_id, embedding, code) of all usable rows, and its codebooks."""
+    """The index table (vec_id, embedding, code, along, across) of all usable rows, and its codebooks."""
     rows = usable(vectors, vec_id, embedding, nonzero=True)
     count = rows.count()
     if not count:
-        return rows.withColumn("code", F.lit(None).cast("binary")), None
+        return rows.withColumns({"code": F.lit(None).cast("binary"), "along": F.lit(None).cast("double"), "across": F.lit(None).cast("double")}), None
     turn = F.pmod(F.xxhash64("vec_id"), F.lit(2**30))
     sample = rows.filter(turn < int(2**30 * min(1, sample_rows / count)) + 1).select("vec_id", "embedding").orderBy("vec_id").collect()  # about SAMPLE_ROWS rows
     sample = sample or rows.orderBy("vec_id").limit(CENTRES).collect()
@@ -125,11 +137,13 @@ def build(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
                 flat = part.column("embedding").flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-                code = quantiser.codes(unit(flat.reshape(part.num_rows, -1)))
+                x = unit(flat.reshape(part.num_rows, -1))
+                code = quantiser.codes(x)
+                along, across = quantiser.spread(x, code)
                 packed = (code[:, 0::2] * CENTRES + code[:, 1::2]).astype(np.uint8)
-                yield pa.record_batch([part.column("vec_id"), part.column("embedding"), pa.array([c.tobytes() for c in packed], pa.binary())], names=["vec_id", "embedding", "code"])
+                yield pa.record_batch([part.column("vec_id"), part.column("embedding"), pa.array([c.tobytes() for c in packed], pa.binary()), along, across], names=["vec_id", "embedding", "code", "along", "across"])
 
-    return written(rows.mapInArrow(encode, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, code binary"), "index"), quantiser
+    return written(rows.mapInArrow(encode, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, code binary, along double, across double"), "index"), quantiser
 
 
 def _scan(ids: np.ndarray, matrix: np.ndarray, quantiser: Quantiser, k: int, rerank: int):
@@ -143,19 +157,31 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, quantiser: Quantiser, k: int, rer
                 order = np.argsort(part.column("vec_id").to_numpy(), kind="stable")
                 code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(own), -1)[order]
                 size = np.sqrt((rows * rows).sum(axis=1))
+                along, across = (part.column(c).to_numpy()[order] for c in ("along", "across"))
+                slack = tables.shape[1] * np.finfo(np.float32).eps * np.hypot(along, across) + 1e-9  # of sums in single precision
                 for a in range(0, len(ids), QUERIES):
                     t = tables[a : a + QUERIES]
                     score = np.zeros((len(t), len(own)), np.float32)
                     for m in range(t.shape[1]):
                         score += np.take(t[:, m], code[:, m], axis=1)
                     score[ids[a : a + QUERIES, None] == own] = -np.inf
-                    top = np.argsort(-score, axis=1, kind="stable")[:, :rerank]
+                    batch_size = min(max(rerank, k), len(own))
+                    top = np.argpartition(-score, batch_size - 1, axis=1)[:, :batch_size]
                     for j in range(len(t)):
-                        at = top[j][np.isfinite(score[j, top[j]])]
-                        exact = (rows[at] * matrix[a + j]).sum(axis=1) / (size[at] * norm[a + j])
-                        all_ids, scores = np.concatenate((best_ids[a + j], own[at])), np.concatenate((best[a + j], exact))
-                        first = np.lexsort((all_ids, -scores))[:k]
-                        best_ids[a + j], best[a + j] = all_ids[first], scores[first]
+
+                        def rerank_rows(at: np.ndarray, q: int = a + j) -> None:
+                            exact = (rows[at] * matrix[q]).sum(axis=1) / (size[at] * norm[q])
+                            all_ids, scores = np.concatenate((best_ids[q], own[at])), np.concatenate((best[q], exact))
+                            first = np.lexsort((all_ids, -scores))[:k]
+                            best_ids[q], best[q] = all_ids[first], scores[first]
+
+                        left = np.isfinite(score[j])
+                        rerank_rows(top[j][left[top[j]]])
+                        left[top[j]] = False
+                        if len(best[a + j]) == k:
+                            least = best[a + j][-1]
+                            left &= score[j] >= np.minimum(along * least, along) - across * np.sqrt(max(0.0, 1 - max(0.0, least) ** 2)) - slack
+                        rerank_rows(np.flatnonzero(left))
         if any(len(x) for x in best):
             yield pa.record_batch([np.repeat(ids, [len(x) for x in best]), np.concatenate(best_ids), np.concatenate(best)], names=["query_id", "vec_id", "score"])
 
@@ -163,7 +189,7 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, quantiser: Quantiser, k: int, rer
 
 
 def search(vectors: DataFrame, queries: Column, *, k: int = 5, rerank: int = RERANK, vec_id: str = "vec_id", embedding: str = "embedding", block: int = BLOCK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for the rows where ``queries``, the k nearest found.
+    """(query_id, rank, vec_id, score): for the rows where ``queries``, the k nearest.
 
     ``queries`` is a condition on the columns vec_id and embedding; score is the cosine.
     """

@@ -122,6 +122,24 @@ def test_neighbours_recall_and_scores(spark):
     assert [i for _, i, _ in sorted(got[2000])] == [2001, 2002, 2003, 2004, 2005]
 
 
+def test_neighbours_among_near_copies(spark):
+    """A third of the rows are near copies of one vector, far more than a first batch."""
+    rnd = np.random.default_rng(8)
+    x = rnd.normal(size=(6_000, 32))
+    x[::3] = x[0] + 0.05 * rnd.normal(size=(2_000, 32))
+    x /= np.sqrt((x * x).sum(axis=1, keepdims=True))
+    rows = [(i, v.tolist(), "s") for i, v in enumerate(x)]
+    got: dict = {}
+    for r in ann.search(vectors(spark, rows).repartition(2), F.col("vec_id") % 50 == 0).orderBy("query_id", "rank").collect():
+        got.setdefault(r["query_id"], []).append(r["vec_id"])
+    exact = np.array([v for _, v, _ in rows]).astype(np.float32).astype(np.float64)
+    exact /= np.sqrt((exact * exact).sum(axis=1, keepdims=True))
+    for q in range(0, 6_000, 50):
+        score = exact @ exact[q]
+        score[q] = -2
+        assert got[q] == np.argsort(-score, kind="stable")[:5].tolist(), q
+
+
 def test_neighbours_of_few_and_none(spark):
     rows = [(0, [1.0, 0.0], "s"), (1, [1.0, 1.0], "s")]
     assert [(r["vec_id"], round(r["score"], 9)) for r in ann.search(vectors(spark, rows), F.col("vec_id") % 50 == 0).collect()] == [(1, round(0.5**0.5, 9))]
