@@ -8,6 +8,7 @@ import uuid
 from collections.abc import Iterator, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 #: Words are runs of characters other than ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
@@ -64,6 +65,24 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with more than this part of all rows is hot; there are at most as many hot keys.
+HOT_PART = 1_000
+
+
+def spread_join(rows: DataFrame, table: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """``rows`` with the ``values`` of ``table`` (keys, values, k) for their keys, or nulls.
+
+    ``table`` has each key once, with the number k of rows that it had when counted. The
+    keys that hold more than a ``HOT_PART``-th of all rows, fewer than ``HOT_PART``, are
+    broadcast, so no task gets all rows of a hot key; only the others are shuffled.
+    ``table`` is read three times: give a written one.
+    """
+    total = table.agg(F.sum("k")).first()[0] or 0
+    hot = F.broadcast(table.filter(F.col("k") * HOT_PART > total).select(*keys, *values))
+    cold = table.filter(F.col("k") * HOT_PART <= total).select(*keys, *values)
+    return rows.join(hot, [*keys], "inner").unionByName(rows.join(hot.select(*keys), [*keys], "left_anti").join(cold, [*keys], "left"))
+
+
 def chunks(sizes: Sequence[int], most: int) -> Iterator[tuple[int, int]]:
     """Ranges of rows whose sizes add up to ``most`` or little more; a large row is alone."""
     start, total = 0, 0

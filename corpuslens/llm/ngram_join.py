@@ -13,11 +13,12 @@ with equal sets form a class; classes are joined.
    l, with anybody, has no link and goes. Classes that still share an n-gram are chained,
    n-gram by n-gram, and the connected components of these chains are the candidate
    clusters: every link lies inside a cluster. Chains of n-grams that the counters call
-   frequent are salted.
+   frequent are salted; their heads meet in a node that stands for the n-gram.
 3. *Trees.* The sets of a cluster meet in one task. There they are ordered by the
-   cluster's own frequencies and stored in a prefix tree. Each set walks the tree, sharing
-   the overlaps of common prefixes; a subtree is left where the remaining lengths cannot
-   reach the threshold, or where all its sets are in the walker's component already.
+   cluster's own frequencies and stored in a prefix tree. Groups of sets walk the tree
+   level by level, sharing the overlaps of common prefixes; a subtree is left where the
+   remaining lengths cannot reach the threshold, or where all its sets are in the
+   walker's component already. The components of a cluster in one task are final.
 4. *Large clusters* are cut into blocks. Each block first meets the cluster's ``PIVOTS``
    pivots, which joins the bulk of a group of copies. Then every set outside its
    cluster's largest component is compared, in blocks, with the whole cluster. No pair
@@ -44,7 +45,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import chunks, written
+from corpuslens.llm.common import chunks, spread_join, written
 
 CHUNK_BYTES = 1 << 20
 #: Frequency from which an n-gram's chain is salted; sets and n-grams that meet in a task.
@@ -54,6 +55,8 @@ UNIT_GRAMS = 2_000_000
 PIVOTS = 32
 #: Rows (of 48 bytes) that may be broadcast.
 SENT_ROWS = 500_000
+#: Edges (of 16 bytes) that a task unites at a time.
+EDGES = 1_000_000
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -135,9 +138,9 @@ class Shingler:
         return out
 
 
-def set_names(sets: list[np.ndarray]) -> np.ndarray:
-    """A 64-bit name, other than 0, of each set; 0 for empty sets."""
-    out = np.zeros(len(sets), U)
+def set_names(sets: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """Two 64-bit names of each set, the first other than 0; 0 for empty sets."""
+    out, other = np.zeros(len(sets), U), np.zeros(len(sets), U)
     size = np.array([len(s) for s in sets], np.int64)
     full = np.flatnonzero(size)
     if len(full):
@@ -145,7 +148,8 @@ def set_names(sets: list[np.ndarray]) -> np.ndarray:
         a = np.add.reduceat(mixed(flat ^ U(0x243F6A8885A308D3)), ends - size[full])
         b = np.add.reduceat(mixed(flat + U(0x13198A2E03707344)), ends - size[full])
         out[full] = np.maximum(mixed(a ^ mixed(b + size[full].astype(U))), U(1))
-    return out.view(np.int64)
+        other[full] = mixed(b ^ mixed(a + U(0x452821E638D01377)))
+    return out.view(np.int64), other.view(np.int64)
 
 
 def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[bytes]]]:
@@ -157,7 +161,8 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[
         yield i, j, [x or b"" for x in col.slice(i, j - i).to_pylist()]
 
 
-PROFILE = "doc_id long, n long, node long, part int, counts binary"
+PROFILE = "doc_id long, n long, node long, other long, part int, counts binary"
+FIELDS = ["doc_id", "n", "node", "other", "part", "counts"]
 PARTS = 16
 
 
@@ -171,36 +176,49 @@ def _profiles(n: int, bits: int):
                 sets = shingler.sets(texts)
                 grams = np.concatenate(sets)
                 np.add.at(counts, (grams >> U(64 - bits)).astype(np.int64), np.uint32(1))
-                yield pa.record_batch(
-                    [batch.column("doc_id").slice(i, j - i), pa.array([len(s) for s in sets], pa.int64()), pa.array(set_names(sets), pa.int64()), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())],
-                    names=["doc_id", "n", "node", "part", "counts"],
-                )
+                sizes = pa.array([len(s) for s in sets], pa.int64())
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), sizes, *set_names(sets), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=FIELDS)
         if counts.any():
             pieces = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, PARTS)]
-            yield pa.record_batch([pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.nulls(PARTS, pa.int64()), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=["doc_id", "n", "node", "part", "counts"])
+            yield pa.record_batch([*(pa.nulls(PARTS, pa.int64()) for _ in FIELDS[:4]), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=FIELDS)
 
     return run
 
 
 def _summed(bits: int, last: bool):
-    def run(table: pa.Table) -> pa.Table:
-        total = np.zeros((1 << bits) // PARTS, np.uint64)
-        for piece in table.column("counts"):
-            total += np.frombuffer(zlib.decompress(piece.as_py()), np.uint32)
-        out = np.minimum(255, np.floor(8 * np.log2(1.0 + total))).astype(np.uint8) if last else np.minimum(total, 2**32 - 1).astype(np.uint32)
-        return pa.table({"part": table.column("part")[:1].cast(pa.int32()), "counts": pa.array([zlib.compress(out.tobytes(), 1)], pa.binary())})
+    """Sums of the counters of each part, one part's counters at a time where rows are sorted."""
+    size = (1 << bits) // PARTS
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+
+        def summed() -> pa.RecordBatch:
+            if last:  # steps of an eighth octave
+                out = [np.minimum(255, np.floor(8 * np.log2(1.0 + t))).astype(np.uint8) for t in total.values()]
+            else:
+                out = [np.minimum(t, 2**32 - 1).astype(np.uint32) for t in total.values()]
+            return pa.record_batch([pa.array([*total], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in out], pa.binary())], names=["part", "counts"])
+
+        for batch in batches:
+            for part, piece in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
+                if last and total and part not in total:
+                    yield summed()
+                    total = {}
+                total.setdefault(part, np.zeros(size, np.uint64))
+                total[part] += np.frombuffer(zlib.decompress(piece), np.uint32)
+        if total:
+            yield summed()
 
     return run
 
 
 def frequency_order(profiles: DataFrame, bits: int) -> np.ndarray:
-    """The counters of all tasks, summed in two steps; ``2**bits`` bytes."""
-    spread = profiles.filter("part IS NOT NULL").select("part", "counts").withColumn("way", F.pmod(F.xxhash64("counts"), F.lit(8)))
-    summed = spread.groupBy("part", "way").applyInArrow(_summed(bits, False), "part int, counts binary")
-    rows = summed.groupBy("part").applyInArrow(_summed(bits, True), "part int, counts binary").collect()  # PARTS rows
-    order = np.zeros(1 << bits, np.uint8)
+    """The counters of all tasks, summed by readers and then by part; ``2**bits`` bytes."""
+    spread = profiles.filter("part IS NOT NULL").select("part", "counts")
+    summed = spread.mapInArrow(_summed(bits, False), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    rows = summed.mapInArrow(_summed(bits, True), "part int, counts binary").collect()  # PARTS rows
+    order, step = np.zeros(1 << bits, np.uint8), (1 << bits) // PARTS
     for r in rows:
-        step = (1 << bits) // PARTS
         order[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
     return order
 
@@ -228,12 +246,12 @@ def _prefixes(n: int, bits: int, percent: int, extra: int, order):
             for _, _, texts in _texts(batch, "text"):
                 grams, salts, nodes, needs = [], [], [], []
                 sets = shingler.sets(texts)
-                for s, node in zip(sets, set_names(sets).tolist(), strict=True):
-                    if not len(s) or node in seen:
+                for s, node, other in zip(sets, *(x.tolist() for x in set_names(sets)), strict=True):
+                    if not len(s) or (node, other) in seen:
                         continue
                     if len(seen) > 1_000_000:
                         seen.clear()
-                    seen.add(node)
+                    seen.add((node, other))
                     p = min(len(s), prefix_size(len(s), percent, extra))
                     often = rank[(s >> U(64 - bits)).astype(np.int64)]
                     first = np.argsort(often, kind="stable")[:p]
@@ -248,14 +266,35 @@ def _prefixes(n: int, bits: int, percent: int, extra: int, order):
     return run
 
 
-def _forest(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The edges (a, b) of each batch of a partition as stars with the same components."""
-    for batch in batches:
-        a, b = (batch.column(k).to_numpy() for k in ("a", "b"))
-        names, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
-        root = _roots(len(names), flat[: len(a)], flat[len(a) :])
-        far = np.flatnonzero(root != np.arange(len(root)))
-        yield pa.record_batch([names[far], names[root[far]]], names=["a", "b"])
+def _forest(names_of: tuple[str, str], with_roots: bool):
+    """The edges (a, b) of a task as stars with the same components, ``EDGES`` at a time.
+
+    ``with_roots`` adds a row for each centre, for a task that holds all edges.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept, n = [], 0
+
+        def contracted(roots: bool = False) -> tuple[np.ndarray, np.ndarray]:
+            a, b = (np.concatenate(x) for x in zip(*kept, strict=True))
+            names, flat = np.unique(np.concatenate((a, b)), return_inverse=True)
+            root = _roots(len(names), flat[: len(a)], flat[len(a) :])
+            far = slice(None) if roots else root != np.arange(len(root))
+            return names[far], names[root[far]]
+
+        for batch in batches:
+            kept.append(tuple(batch.column(k).to_numpy() for k in ("a", "b")))
+            n += batch.num_rows
+            if n > EDGES:
+                kept = [contracted()]
+                n = len(kept[0][0])
+                if 2 * n > EDGES and not with_roots:
+                    yield pa.record_batch([*kept[0]], names=[*names_of])
+                    kept, n = [], 0
+        if n:
+            yield pa.record_batch([*contracted(with_roots)], names=[*names_of])
+
+    return run
 
 
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -270,34 +309,50 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
             root = root[root]
 
 
-def components(edges: DataFrame) -> DataFrame:
+def components(edges: DataFrame, bound: int = EDGES) -> DataFrame:
     """(node, comp): the smallest node that each end of the edges (a, b) can reach.
 
-    Edges are contracted inside each batch first. Then labels go from neighbour to
-    neighbour and each label jumps to its own label's label, so the rounds grow with the
-    logarithm of the longest path. Every round is a table in the shared folder.
+    Every task first replaces the edges it holds by stars, without a shuffle. Up to
+    ``bound`` of these (of 16 bytes, a checked size) are united by one task. Beyond it
+    each node is contracted into the first of its neighbours and itself, in an order by
+    hash that changes every round, so that the nodes left shrink by a constant factor;
+    the contracted graph is solved the same way and its labels are looked up. Joins keep
+    nodes of very many edges apart (:func:`spread_join`).
     """
-    stars = written(edges.mapInArrow(_forest, "a long, b long"), "stars")
+    labels, least = _labels(edges, bound, 0)
+    if least:
+        return labels
+    names = written(labels.groupBy("comp").agg(F.min("node").alias("least"), F.count("*").alias("k")), "least")
+    return written(spread_join(labels, names, ["comp"], ["least"]).select("node", F.col("least").alias("comp")), "labels")
+
+
+def _labels(edges: DataFrame, bound: int, turn: int) -> tuple[DataFrame, bool]:
+    """(node, comp) with one comp for each component, and whether it is the smallest node."""
+    stars = written(edges.mapInArrow(_forest(("a", "b"), False), "a long, b long"), "stars")
+    if stars.count() <= bound:
+        return written(stars.coalesce(1).mapInArrow(_forest(("node", "comp"), True), "node long, comp long"), "labels"), True
     both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    both = written(both.distinct(), "edges")
-    labels = written(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("a"), F.min("b")).alias("comp")), "labels")
-    while True:
-        old = labels
-        near = both.join(old, both["b"] == old["node"]).groupBy("a").agg(F.min("comp").alias("near"))
-        hooked = old.join(near, F.col("node") == F.col("a")).select("node", "comp", F.least("comp", "near").alias("new"))
-        hooks = hooked.filter("new < comp").groupBy(F.col("comp").alias("hooked")).agg(F.min("new").alias("to"))
-        hooked = hooked.join(hooks, F.col("node") == F.col("hooked"), "left").select("node", F.col("comp").alias("was"), F.least("new", F.coalesce("to", "new")).alias("comp"))
-        hooked = written(hooked, "hooked")
-        up = hooked.select(F.col("node").alias("up"), F.col("comp").alias("over"))
-        labels = written(hooked.join(up, F.col("comp") == F.col("up"), "left").select("node", "was", F.coalesce("over", "comp").alias("comp")), "labels")
-        moved = labels.filter("comp <> was").limit(1).count()
-        labels = labels.select("node", "comp")
-        if not moved:
-            return labels
+    first = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
+    hooks = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("k"), F.min(first("b")).alias("near"))
+    hooks = written(hooks.select("node", "k", F.least(first("node"), F.col("near"))["v"].alias("to")), "hooks")
+    left = stars.select(F.col("a").alias("node"), F.col("b").alias("far"))
+    left = spread_join(left, hooks, ["node"], ["to"]).select(F.col("to").alias("a"), F.col("far").alias("node"))
+    left = spread_join(left, hooks, ["node"], ["to"]).select("a", F.col("to").alias("b")).filter("a <> b")
+    inner, _ = _labels(left, bound, turn + 1)
+    many = written(hooks.groupBy(F.col("to").alias("node")).agg(F.count("*").alias("k")).join(inner, "node").select("node", "comp", "k"), "many")
+    out = spread_join(hooks.select(F.col("node").alias("own"), F.col("to").alias("node")), many, ["node"], ["comp"])
+    return written(out.select(F.col("own").alias("node"), F.coalesce("comp", "node").alias("comp")), "labels"), False
 
 
 class Trie:
-    """Sets in a common order as a path-compressed tree over their sorted sequences."""
+    """Sets in a common order as a path-compressed tree over their sorted sequences.
+
+    Nodes are rows of arrays: sets lo to hi, depth above and below the path, sizes of the
+    sets, children (a range of nodes) and the place of the path's tokens.
+    """
+
+    WIDTH = 64
+    HELD = 1 << 24
 
     def __init__(self, sets: list[np.ndarray]) -> None:
         flat = np.concatenate(sets)
@@ -310,114 +365,128 @@ class Trie:
             seqs.append(np.sort(token[at : at + len(s)]))
             at += len(s)
         self.vocabulary = len(names)
-        self.order = sorted(range(len(sets)), key=lambda i: seqs[i].astype(">i8").tobytes())
+        self.order = np.array(sorted(range(len(sets)), key=lambda i: seqs[i].astype(">i8").tobytes()))
         self.seqs = [seqs[i] for i in self.order]
         self.size = np.array([len(s) for s in self.seqs])
-        self.common = [0] * len(sets)
+        common = np.zeros(len(sets), np.int64)
         for i in range(1, len(sets)):
             a, b = self.seqs[i - 1], self.seqs[i]
             m = min(len(a), len(b))
-            differ = np.flatnonzero(a[:m] != b[:m])
-            self.common[i] = int(differ[0]) if len(differ) else m
-        # Nodes: (first, last + 1, depth above, depth, children); leaves are ranges of one.
-        self.root = self._node(0, len(sets), 0)
-
-    def _node(self, lo: int, hi: int, above: int):
-        made = [lo, hi, above, 0, [], int(self.size[lo:hi].min()), int(self.size[lo:hi].max())]
-        work = [made]
-        while work:
-            node = work.pop()
-            lo, hi = node[0], node[1]
-            if hi - lo == 1:
-                node[3] = len(self.seqs[lo])
-                continue
-            depth = min(self.common[lo + 1 : hi])
-            node[3] = depth
-            cuts = [lo, *(i for i in range(lo + 1, hi) if self.common[i] == depth), hi]
-            for x, y in zip(cuts[:-1], cuts[1:], strict=True):
-                child = [x, y, depth, 0, [], int(self.size[x:y].min()), int(self.size[x:y].max())]
-                node[4].append(child)
-                work.append(child)
-        return made
+            differ = a[:m] != b[:m]
+            common[i] = differ.argmax() if differ.any() else m
+        self._grow(common)
+
+    def _grow(self, common: np.ndarray) -> None:
+        lo, hi, above, depth, child, last = [0], [len(self.seqs)], [0], [], [], []
+        i = 0
+        while i < len(lo):  # breadth first: the children of a node are a range
+            x, y = lo[i], hi[i]
+            child.append(len(lo))
+            if y - x == 1:
+                depth.append(len(self.seqs[x]))
+            else:
+                inner = common[x + 1 : y]
+                depth.append(int(inner.min()))
+                cuts = [x, *(np.flatnonzero(inner == depth[i]) + x + 1).tolist(), y]
+                lo += cuts[:-1]
+                hi += cuts[1:]
+                above += [depth[i]] * (len(cuts) - 1)
+            last.append(int(self.seqs[x][depth[i] - 1]) if depth[i] else -1)
+            i += 1
+        child.append(len(lo))
+        self.lo, self.hi, self.depth, self.child, self.last = (np.array(x) for x in (lo, hi, depth, child, last))
+        self.least = np.array([self.size[x:y].min() for x, y in zip(lo, hi, strict=True)])
+        self.most = np.array([self.size[x:y].max() for x, y in zip(lo, hi, strict=True)])
+        paths = [self.seqs[x][a:d] for x, a, d in zip(lo, above, depth, strict=True)]
+        self.path_size = np.array([len(p) for p in paths])
+        self.path_at = np.cumsum(self.path_size) - self.path_size
+        self.paths = np.concatenate(paths)
 
     def components(self, percent: int, queries: np.ndarray | None = None) -> np.ndarray:
         """Component labels of the sets (in the order given), joining linked sets.
 
-        With ``queries`` (a mask) only pairs with at least one query are looked at.
+        With ``queries`` (a mask) only pairs with at least one query are looked at. The
+        sets that ask walk the tree in groups, which grow as components settle.
         """
-        n = len(self.seqs)
-        comp = np.arange(n)
-        asks = np.ones(n, bool) if queries is None else queries[self.order]
-        held = np.zeros(self.vocabulary, bool)
-        for q in range(n):
-            if not asks[q]:
-                continue
-            seq, size = self.seqs[q], int(self.size[q])
-            held[seq] = True
-            work = [(self.root, 0)]
-            while work:
-                node, overlap = work.pop()
-                lo, hi, above, depth, children, least, most = node
-                if queries is None:
-                    hi = min(hi, q)
-                if lo >= hi or 100 * min(size, most) < percent * max(size, least):
-                    continue
-                mine = comp[q]
-                if (comp[lo:hi] == mine).all():
-                    continue
-                path = self.seqs[lo][above:depth]
-                overlap += int(np.count_nonzero(held[path]))
-                if len(path):
-                    rest = size - int(np.searchsorted(seq, path[-1], "right"))
-                elif depth:
-                    rest = size - int(np.searchsorted(seq, self.seqs[lo][depth - 1], "right"))
-                else:
-                    rest = size
-                most_common = overlap + min(rest, most - depth)
-                # 100 i >= percent (a + b - i)
-                if (100 + percent) * most_common < percent * (size + least):
-                    continue
-                if children:
-                    work += [(c, overlap) for c in reversed(children)]
-                elif lo != q:
-                    a, b = (mine, comp[lo]) if mine < comp[lo] else (comp[lo], mine)
-                    comp[comp == b] = a
-            held[seq] = False
-        out = np.empty(n, np.int64)
+        comp, width, at = np.arange(len(self.seqs)), 1, 0
+        asks = np.arange(len(comp)) if queries is None else np.flatnonzero(queries[self.order])
+        while at < len(asks):
+            block = asks[at : at + width]
+            at += len(block)
+            width = max(1, min(2 * width, self.WIDTH, self.HELD // self.vocabulary))
+            q, leaf = self._walk(block, comp, percent, queries is None)
+            if len(q):
+                comp = _roots(len(comp), comp[q], comp[leaf])[comp]
+        out = np.empty(len(comp), np.int64)
         out[self.order] = comp
         return out
 
-
-UNITS = "unit long, part long, node long, ask boolean, grams binary"
+    def _walk(self, block: np.ndarray, comp: np.ndarray, percent: int, ahead: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Linked (query, set) pairs of a group of queries, level by level."""
+        sizes = self.size[block]
+        tokens = np.concatenate([self.seqs[i] for i in block])
+        start = np.cumsum(sizes) - sizes
+        held = np.zeros((len(block), self.vocabulary), bool)
+        held[np.repeat(np.arange(len(block)), sizes), tokens] = True
+        ordered = np.repeat(np.arange(len(block)), sizes) * self.vocabulary + tokens
+        run = np.concatenate(([0], np.cumsum(comp[1:] != comp[:-1])))  # equal where all between are of one component
+        q, node, overlap = np.arange(len(block)), np.zeros(len(block), np.int64), np.zeros(len(block), np.int64)
+        found_q, found = [], []
+        while len(q):
+            own = block[q]
+            hi = np.minimum(self.hi[node], own) if ahead else self.hi[node]
+            fit = self.lo[node] < hi
+            fit &= 100 * np.minimum(sizes[q], self.most[node]) >= percent * np.maximum(sizes[q], self.least[node])
+            fit &= (run[np.maximum(hi - 1, 0)] != run[self.lo[node]]) | (comp[self.lo[node]] != comp[own])
+            q, node, overlap = q[fit], node[fit], overlap[fit]
+            if not len(q):
+                break
+            count = self.path_size[node]
+            row = np.repeat(np.arange(len(q)), count)
+            place = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.path_at[node], count)
+            overlap = overlap + np.bincount(row[held[q[row], self.paths[place]]], minlength=len(q))
+            used = np.searchsorted(ordered, q * self.vocabulary + self.last[node], "right") - start[q]
+            rest = np.where(self.last[node] < 0, sizes[q], sizes[q] - used)
+            best = overlap + np.minimum(rest, self.most[node] - self.depth[node])
+            fit = (100 + percent) * best >= percent * (sizes[q] + self.least[node])  # 100 i >= percent (a + b - i)
+            q, node, overlap = q[fit], node[fit], overlap[fit]
+            leaf = self.hi[node] - self.lo[node] == 1
+            linked = leaf & (self.lo[node] != block[q])
+            found_q.append(block[q[linked]])
+            found.append(self.lo[node[linked]])
+            q, node, overlap = q[~leaf], node[~leaf], overlap[~leaf]
+            count = self.child[node + 1] - self.child[node]
+            row = np.repeat(np.arange(len(q)), count)
+            node = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count) + np.repeat(self.child[node], count)
+            q, overlap = q[row], overlap[row]
+        return (np.concatenate(found_q), np.concatenate(found)) if found else (np.zeros(0, np.int64), np.zeros(0, np.int64))
 
 
 def _joined_units(percent: int):
-    """Links (a, b) as stars, from rows sorted by (unit, part)."""
+    """Links (a, b) as stars, from rows (unit, part, rep, ask, grams) sorted by the first three."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close():
             if len(sets) < 2:
                 return None
             labels = Trie(sets).components(percent, None if all(asks) else np.array(asks))
-            own = np.array(nodes)
-            far = np.flatnonzero(labels != np.arange(len(labels)))
-            smallest = {}
-            for k, node in zip(labels.tolist(), nodes, strict=True):
-                smallest[k] = min(smallest.get(k, node), node)
-            return pa.record_batch([own, np.array([smallest[k] for k in labels.tolist()])], names=["a", "b"]) if len(far) else None
-
-        unit, sets, nodes, asks = None, [], [], []
+            own, least = np.array(reps), np.full(len(reps), 2**63 - 1)
+            np.minimum.at(least, labels, own)
+            far = np.flatnonzero(least[labels] != own)
+            return pa.record_batch([own[far], least[labels][far]], names=["a", "b"])
+
+        unit, sets, reps, asks = None, [], [], []
         for batch in batches:
-            for u, p, node, ask, grams in zip(*(batch.column(k).to_pylist() for k in ("unit", "part", "node", "ask", "grams")), strict=True):
+            for u, p, rep, ask, grams in zip(*(batch.column(k).to_pylist() for k in ("unit", "part", "rep", "ask", "grams")), strict=True):
                 if (u, p) != unit:
                     if (out := close()) is not None:
                         yield out
-                    unit, sets, nodes, asks = (u, p), [], [], []
-                if nodes and nodes[-1] == node:
+                    unit, sets, reps, asks = (u, p), [], [], []
+                if reps and reps[-1] == rep:
                     asks[-1] |= ask
                     continue
                 sets.append(np.frombuffer(grams, U))
-                nodes.append(node)
+                reps.append(rep)
                 asks.append(ask)
         if (out := close()) is not None:
             yield out
@@ -426,11 +495,11 @@ def _joined_units(percent: int):
 
 
 def _links(units: DataFrame, percent: int) -> DataFrame:
-    dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part", "node")
-    return dealt.mapInArrow(_joined_units(percent), "a long, b long").filter("a <> b")
+    dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part", "rep")
+    return dealt.mapInArrow(_joined_units(percent), "a long, b long")
 
 
-KEPT = ["node", "cluster", "m", "blocks"]
+KEPT = ["rep", "cluster", "m", "blocks"]
 
 
 def _grams(n: int):
@@ -442,7 +511,8 @@ def _grams(n: int):
             for i, j, texts in _texts(batch, "text"):
                 sets = shingler.sets(texts)
                 rows = batch.slice(i, j - i)
-                fit = pa.array(set_names(sets) == rows.column("node").to_numpy())
+                names, others = set_names(sets)
+                fit = pa.array((names == rows.column("node").to_numpy()) & (others == rows.column("other").to_numpy()))
                 yield pa.record_batch([*(rows.column(k) for k in KEPT), pa.array([s.tobytes() for s in sets], pa.binary())], names=[*KEPT, "grams"]).filter(fit)
 
     return run
@@ -452,11 +522,11 @@ def _units(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     """The sets of the members' documents; few members are sent to the texts."""
     if members.count() <= SENT_ROWS:
         members = F.broadcast(members)
-    texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep").select(*KEPT, "text")
-    return texts.mapInArrow(_grams(n), "node long, cluster long, m long, blocks long, grams binary")
+    texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep").select(*KEPT, "node", "other", "text")
+    return texts.mapInArrow(_grams(n), "rep long, cluster long, m long, blocks long, grams binary")
 
 
-def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, extra: int = 10, bits: int | None = None, unit_sets: int = UNIT_SETS, unit_grams: int = UNIT_GRAMS, pivots: int = PIVOTS) -> DataFrame:
+def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, extra: int = 10, bits: int | None = None, unit_sets: int = UNIT_SETS, unit_grams: int = UNIT_GRAMS, pivots: int = PIVOTS, edges: int = EDGES) -> DataFrame:
     """(doc_id, n_shingles, component_id) of every row of ``docs``.
 
     Documents are linked if ``100 * |intersection| >= percent * |union|``; component_id is
@@ -469,59 +539,62 @@ def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     as_bytes = plain.select("doc_id", F.col("text").cast("binary").alias("text"))
     profiles = written(as_bytes.mapInArrow(_profiles(n, bits), PROFILE), "profiles")
     order = spark.sparkContext.broadcast(frequency_order(profiles, bits))  # 2**bits bytes, 16 MB at most
-    rows = profiles.filter("part IS NULL").select("doc_id", "n", "node")
-    classes = written(rows.filter("n > 0").groupBy("node").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n")), "classes")
+    rows = profiles.filter("part IS NULL").select("doc_id", "n", "node", "other")
+    classes = rows.filter("n > 0").groupBy("node", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("k"))
+    classes = written(classes, "classes")
 
+    # Chains of the nodes that share an n-gram; the heads of a salted chain meet in a node of their own.
     entries = as_bytes.select("text").mapInArrow(_prefixes(n, bits, percent, extra, order), "gram long, salt int, node long, need int")
     chain = Window.partitionBy("gram", "salt").orderBy("node")
     near = entries.withColumn("prev", F.lag("node").over(chain)).withColumn("next", F.lead("node").over(chain))
-    shared = written(near.filter("salt > 0 OR prev <> node OR next <> node").select("gram", "salt", "node", "need"), "shared")
-    kept = shared.groupBy("node").agg(F.count("*").alias("held"), F.max("need").alias("need")).filter("held >= need").select("node")
-    chained = shared.select("gram", "salt", "node").join(kept, "node").withColumn("prev", F.lag("node").over(chain))
-    chained = written(chained.filter("prev <> node OR prev IS NULL AND salt > 0"), "chained")
-    heads = chained.filter("prev IS NULL").withColumn("prev", F.lag("node").over(Window.partitionBy("gram").orderBy("node", "salt")))
-    edges = chained.unionByName(heads).filter("prev <> node").select(F.col("node").alias("a"), F.col("prev").alias("b")).distinct()
-    clusters = components(edges)
-
-    members = clusters.withColumnRenamed("comp", "cluster").join(classes.filter("rep IS NOT NULL"), "node")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all")).filter("m > 1")
+    shared = near.filter("salt > 0 OR prev <> node OR next <> node").select("gram", "salt", "node", "need")
+    own = Window.partitionBy("node")  # a set's own prefix
+    kept = shared.withColumn("held", F.count("*").over(own)).withColumn("need", F.min("need").over(own)).filter("held >= need")
+    chained = kept.select("node", F.coalesce(F.lag("node").over(chain), F.when(F.col("salt") > 0, F.xxhash64("gram", F.lit(5)))).alias("prev"))
+    clusters = components(chained.filter("prev <> node").select(F.col("node").alias("a"), F.col("prev").alias("b")), edges)
+
+    members = written(clusters.withColumnRenamed("comp", "cluster").join(classes.filter("rep IS NOT NULL"), "node"), "members")
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
     blocks = F.ceil(F.greatest(F.col("m") / unit_sets, F.col("all") / unit_grams)).cast("long")
-    members = written(members.drop("n").join(sizes.select("cluster", "m", blocks.alias("blocks")), "cluster"), "members")
-    links = written(_links(_units(as_bytes, members.filter("blocks = 1"), n).select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "node", F.lit(True).alias("ask"), "grams"), percent), "links")
-    large = members.filter("blocks > 1")
-    if large.limit(1).count():
-        links = links.unionByName(_large_links(written(_units(as_bytes, large, n), "large"), percent, unit_sets, pivots))
-    joined = components(links)
-
-    known = classes.join(joined, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-    named = known.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    known = known.join(named, "comp").select("node", "component_id")
-    out = rows.join(known, "node", "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.when(F.col("n") == 0, F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"))
-
-
-def _large_links(large: DataFrame, percent: int, unit_sets: int, pivots: int) -> DataFrame:
+    large = written(sizes.select("cluster", "m", blocks.alias("blocks")).filter("blocks > 1"), "large")
+    some = large.count()  # at most a class in 1,000, or an n-gram in UNIT_GRAMS
+    wide = F.broadcast(large) if some <= SENT_ROWS else large
+    members = members.select("rep", "node", "other", "cluster").join(wide, "cluster", "left").fillna(1, ["blocks"])
+    small = _units(as_bytes, members.filter("blocks = 1"), n).select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "rep", F.lit(True).alias("ask"), "grams")
+    joined = _links(small, percent).select(F.col("a").alias("rep"), F.col("b").alias("comp"))  # a cluster in one unit: its components
+    if some:
+        links = _large_links(written(_units(as_bytes, members.filter("blocks > 1"), n), "sets"), percent, unit_sets, pivots, edges)
+        joined = joined.unionByName(components(links, edges).filter("node <> comp").select(F.col("node").alias("rep"), "comp"))
+
+    known = classes.select("node", "other", "rep", "k").join(joined, "rep", "left").select("node", "other", "k", F.coalesce("comp", "rep").alias("component_id"))
+    known = written(known, "known")
+    out = spread_join(rows.filter("n > 0"), known, ["node", "other"], ["component_id"])
+    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
+    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+
+
+def _large_links(large: DataFrame, percent: int, unit_sets: int, pivots: int, edges: int) -> DataFrame:
     """Links of clusters of several blocks: against pivots, then what is left, in blocks."""
-    block = F.pmod(F.xxhash64("node"), F.col("blocks"))
-    every = large.select(F.col("cluster").alias("unit"), "blocks", block.alias("part"), "node", "grams")
+    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
+    every = large.select(F.col("cluster").alias("unit"), "blocks", block.alias("part"), "rep", "grams")
     # Pivots: the smallest names by hash, found by a bounded aggregate on each cluster.
-    chosen = large.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("node", F.lit(7)), F.greatest(F.col("m") / (4 * pivots), F.lit(1)).cast("long")) == 0, F.col("node")))), 1, pivots).alias("pivots"))
-    pivot = every.join(chosen.select(F.col("cluster").alias("unit"), F.explode("pivots").alias("node")), ["unit", "node"])
+    chosen = large.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rep", F.lit(7)), F.greatest(F.col("m") / (4 * pivots), F.lit(1)).cast("long")) == 0, F.col("rep")))), 1, pivots).alias("pivots"))
+    pivot = every.join(F.broadcast(chosen.select(F.explode("pivots").alias("rep"))) if large.count() <= SENT_ROWS else chosen.select(F.explode("pivots").alias("rep")), "rep")
     spread = pivot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    first = every.unionByName(spread).select("unit", "part", "node", F.lit(True).alias("ask"), "grams")
+    first = every.unionByName(spread.select(every.columns)).select("unit", "part", "rep", F.lit(True).alias("ask"), "grams")
     links = written(_links(first, percent), "links")
 
     # Queries are the sets outside their cluster's largest component, in blocks; each block
     # meets every block of its cluster.
-    comp = components(links)
-    labelled = every.join(comp, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+    comp = components(links, edges).withColumnRenamed("node", "rep")
+    labelled = every.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
     count = labelled.groupBy("unit", "comp").agg(F.count("*").alias("k"))
     main = count.groupBy("unit").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most"))
     main = main.filter("total > most").withColumn("ways", F.ceil((F.col("total") - F.col("most")) / unit_sets))
     left = written(labelled.join(main, "unit"), "left")
-    way = F.pmod(F.xxhash64("node", F.lit(11)), F.col("ways"))
+    way = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("ways"))
     number = (F.col("way") * F.col("blocks") + F.col("part")).alias("part")
     asks = left.filter("comp <> main").withColumn("way", way).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = left.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
-    units = asks.select("unit", number, "node", F.lit(True).alias("ask"), "grams").unionByName(rest.select("unit", number, "node", F.lit(False).alias("ask"), "grams"))
+    units = asks.select("unit", number, "rep", F.lit(True).alias("ask"), "grams").unionByName(rest.select("unit", number, "rep", F.lit(False).alias("ask"), "grams"))
     return links.unionByName(written(_links(units, percent), "links"))

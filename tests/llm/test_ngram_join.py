@@ -51,11 +51,11 @@ def corpus(seed, copies=60):
     return rows
 
 
-@pytest.mark.parametrize("kind", ["small", "blocks"])
+@pytest.mark.parametrize("kind", ["small", "blocks", "contracted"])
 def test_components_equal_brute_force(spark, kind):
     rows = corpus(7)
     docs = spark.createDataFrame([(d, t, "x") for d, t in rows], "doc_id long, text string, node string").repartition(5)
-    more = {"unit_sets": 7, "pivots": 3} if kind == "blocks" else {}
+    more = {"small": {}, "blocks": {"unit_sets": 7, "pivots": 3}, "contracted": {"unit_sets": 40, "edges": 300}}[kind]
     got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.near_components(docs, **more).collect()}
     assert got == brute(rows)
 
@@ -76,6 +76,22 @@ def test_repeated_rows_null_ids_and_empty_tables(spark):
     assert nj.near_components(docs.limit(0)).collect() == []
 
 
+@pytest.mark.parametrize("bound", [10**6, 8])
+def test_components_of_paths_hubs_and_loops(spark, bound):
+    rnd = random.Random(5)
+    path = [(i, i + 1) for i in range(100, 160)]
+    hub = [(7, 1000 + i) for i in range(80)]
+    pairs = [(5000 + 2 * i, 5001 + 2 * i) for i in range(20)]
+    edges = path + hub + pairs + [(300, 300), (301, 300), (-4, 7)]
+    rnd.shuffle(edges)
+    got = dict(map(tuple, nj.components(spark.createDataFrame(edges, "a long, b long").repartition(6), bound).collect()))
+    root = {v: v for e in edges for v in e}
+    while any(root[a] != root[b] for a, b in edges):
+        for a, b in edges:
+            root[a] = root[b] = min(root[a], root[b])
+    assert {v: got.get(v, v) for v in root} == root
+
+
 def test_the_tree_finds_what_pairs_find():
     import numpy as np
 
