@@ -5,7 +5,7 @@ Each pair of components has a codebook of 16 centres (four bits). Codes and cent
 fitted to the anisotropic loss |r|^2 + (eta - 1) (r . x)^2 of the residual r of a unit
 vector x: error along x changes the scores of the queries that matter, so it costs eta
 times as much as error across it. Codebooks are fitted on a bounded sample
-(``SAMPLE_ROWS``, by hash of the id); every row is encoded and kept, with its vector and
+(``SAMPLE_ROWS``, by hash of the row); every row is encoded and kept, with its vector and
 the length of its coded vector along and across it, in an index table.
 
 A search takes the queries in blocks. For each, tables hold the products of the query's
@@ -19,10 +19,12 @@ s >= t cannot. Near copies, which have nearly the same codes, all pass, and the
 that of brute force.
 
 Defined results: rows that :func:`corpuslens.llm.vectors.usable` leaves out, and zero
-vectors, take no part; rows with the query's id are not its candidates; repeated rows are
-separate candidates; of repeated query ids the smallest vector asks; equal vectors have
-equal approximate and exact scores, ties going to the smaller id; fewer than k candidates
-are all returned; an empty table gives an empty result; only the named columns are read.
+vectors, take no part; every row that asks is a query of its own, also where rows share an
+id, and only the row itself is not its candidate; vectors of another length are no
+candidates, as they have no cosine (each length has an index of its own); repeated rows are
+separate candidates; equal vectors have equal approximate and exact scores, ties going to
+the smaller id; fewer than k candidates are all returned; an empty table gives an empty
+result; only the named columns are read.
 """
 
 from __future__ import annotations
@@ -35,7 +37,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from corpuslens.llm.common import written
-from corpuslens.llm.vectors import BLOCK, arrays, query_blocks, ranked, usable
+from corpuslens.llm.vectors import BLOCK, arrays, of_length, query_blocks, query_lengths, ranked, usable
 
 SAMPLE_ROWS = 8_192
 CENTRES = 16
@@ -45,7 +47,7 @@ THRESHOLD = 0.2
 RERANK = 96
 ROWS = 8_192
 QUERIES = 256
-FOUND = "query_id long, vec_id long, score double"
+FOUND = "query long, query_id long, vec_id long, score double"
 
 
 def unit(x: np.ndarray) -> np.ndarray:
@@ -120,15 +122,12 @@ class Quantiser:
         return (t[:, 0::2, :, None] + t[:, 1::2, None, :]).reshape(len(queries), self.parts // 2, CENTRES**2).astype(np.float32)
 
 
-def build(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embedding", sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Quantiser | None]:
-    """The index table (vec_id, embedding, code, along, across) of all usable rows, and its codebooks."""
-    rows = usable(vectors, vec_id, embedding, nonzero=True)
-    count = rows.count()
-    if not count:
-        return rows.withColumns({"code": F.lit(None).cast("binary"), "along": F.lit(None).cast("double"), "across": F.lit(None).cast("double")}), None
-    turn = F.pmod(F.xxhash64("vec_id"), F.lit(2**30))
-    sample = rows.filter(turn < int(2**30 * min(1, sample_rows / count)) + 1).select("vec_id", "embedding").orderBy("vec_id").collect()  # about SAMPLE_ROWS rows
-    sample = sample or rows.orderBy("vec_id").limit(CENTRES).collect()
+def build(rows: DataFrame, *, sample_rows: int = SAMPLE_ROWS) -> tuple[DataFrame, Quantiser]:
+    """The index table (row, vec_id, embedding, code, along, across) of usable rows of one
+    length, of which there are some, and its codebooks."""
+    turn = F.pmod(F.xxhash64("row"), F.lit(2**30))
+    picked = rows.filter(turn < int(2**30 * min(1, sample_rows / rows.count())) + 1)
+    sample = picked.orderBy("row").collect() or rows.limit(CENTRES).collect()  # about SAMPLE_ROWS rows
     x = unit(np.array([r["embedding"] for r in sample], np.float64))
     quantiser = Quantiser(x.shape[1]).fit(x)
 
@@ -141,20 +140,19 @@ def build(vectors: DataFrame, *, vec_id: str = "vec_id", embedding: str = "embed
                 code = quantiser.codes(x)
                 along, across = quantiser.spread(x, code)
                 packed = (code[:, 0::2] * CENTRES + code[:, 1::2]).astype(np.uint8)
-                yield pa.record_batch([part.column("vec_id"), part.column("embedding"), pa.array([c.tobytes() for c in packed], pa.binary()), along, across], names=["vec_id", "embedding", "code", "along", "across"])
+                yield pa.record_batch([part.column("row"), part.column("vec_id"), part.column("embedding"), pa.array([c.tobytes() for c in packed], pa.binary()), along, across], names=["row", "vec_id", "embedding", "code", "along", "across"])
 
-    return written(rows.mapInArrow(encode, f"vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, code binary, along double, across double"), "index"), quantiser
+    return written(rows.mapInArrow(encode, f"row long, vec_id long, embedding {rows.schema['embedding'].dataType.simpleString()}, code binary, along double, across double"), "index"), quantiser
 
 
-def _scan(ids: np.ndarray, matrix: np.ndarray, quantiser: Quantiser, k: int, rerank: int):
+def _scan(asking: np.ndarray, ids: np.ndarray, matrix: np.ndarray, quantiser: Quantiser, k: int, rerank: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tables, norm = quantiser.tables(unit(matrix)), np.sqrt((matrix * matrix).sum(axis=1))
         best_ids, best = [np.zeros(0, np.int64)] * len(ids), [np.zeros(0)] * len(ids)
         for batch in batches:
             for i in range(0, batch.num_rows, ROWS):
                 part = batch.slice(i, ROWS)
-                own, rows = next(arrays(part, ROWS))
-                order = np.argsort(part.column("vec_id").to_numpy(), kind="stable")
+                places, own, rows, order = next(arrays(part, ROWS))
                 code = np.frombuffer(b"".join(part.column("code").to_pylist()), np.uint8).reshape(len(own), -1)[order]
                 size = np.sqrt((rows * rows).sum(axis=1))
                 along, across = (part.column(c).to_numpy()[order] for c in ("along", "across"))
@@ -164,7 +162,7 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, quantiser: Quantiser, k: int, rer
                     score = np.zeros((len(t), len(own)), np.float32)
                     for m in range(t.shape[1]):
                         score += np.take(t[:, m], code[:, m], axis=1)
-                    score[ids[a : a + QUERIES, None] == own] = -np.inf
+                    score[asking[a : a + QUERIES, None] == places] = -np.inf
                     batch_size = min(max(rerank, k), len(own))
                     top = np.argpartition(-score, batch_size - 1, axis=1)[:, :batch_size]
                     for j in range(len(t)):
@@ -183,7 +181,8 @@ def _scan(ids: np.ndarray, matrix: np.ndarray, quantiser: Quantiser, k: int, rer
                             left &= score[j] >= np.minimum(along * least, along) - across * np.sqrt(max(0.0, 1 - max(0.0, least) ** 2)) - slack
                         rerank_rows(np.flatnonzero(left))
         if any(len(x) for x in best):
-            yield pa.record_batch([np.repeat(ids, [len(x) for x in best]), np.concatenate(best_ids), np.concatenate(best)], names=["query_id", "vec_id", "score"])
+            count = [len(x) for x in best]
+            yield pa.record_batch([np.repeat(asking, count), np.repeat(ids, count), np.concatenate(best_ids), np.concatenate(best)], names=["query", "query_id", "vec_id", "score"])
 
     return run
 
@@ -193,10 +192,10 @@ def search(vectors: DataFrame, queries: Column, *, k: int = 5, rerank: int = RER
 
     ``queries`` is a condition on the columns vec_id and embedding; score is the cosine.
     """
-    index, quantiser = build(vectors, vec_id=vec_id, embedding=embedding)
+    every = usable(vectors, vec_id, embedding, nonzero=True)
     found = vectors.sparkSession.createDataFrame([], FOUND)
-    if quantiser is None:
-        return ranked(found, k)
-    for ids, matrix in query_blocks(index.select("vec_id", "embedding"), queries, block):
-        found = found.unionByName(index.mapInArrow(_scan(ids, matrix, quantiser, k, rerank), FOUND))
+    for length in query_lengths(every, queries):
+        index, quantiser = build(of_length(every, length))
+        for own, ids, matrix in query_blocks(index.select("row", "vec_id", "embedding"), queries, block):
+            found = found.unionByName(index.mapInArrow(_scan(own, ids, matrix, quantiser, k, rerank), FOUND))
     return ranked(found, k)

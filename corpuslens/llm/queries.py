@@ -132,12 +132,12 @@ def op2_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 ORACLES["op2_exact_topk"] = """
 with v as (
-  select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
-  where vec_id is not null and len(embedding) > 0 and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
+  select row_number() over () as r, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as e from embeddings
+  where vec_id is not null and embedding is not null and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = len(embedding)),
 scored as (
-  select q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
-  from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-best as (select *, row_number() over (partition by query_id order by score desc, vec_id)::int as rank from scored)
+  select q.r, q.vec_id as query_id, c.vec_id, list_inner_product(q.e, c.e)::bigint as score
+  from v q join v c on q.r <> c.r and len(q.e) = len(c.e) where q.vec_id % 50 = 0),
+best as (select *, row_number() over (partition by r order by score desc, vec_id)::int as rank from scored)
 select query_id, rank, vec_id, score from best where rank <= 5
 """
 

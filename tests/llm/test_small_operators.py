@@ -67,13 +67,15 @@ def vectors(spark, rows):
 
 
 def brute_top(rows, k=5, scale=256):
-    usable = [(i, np.floor(scale * np.array(e, np.float32).astype(np.float64)).astype(np.int64)) for i, e, _ in rows if i is not None and e and len(e) == 4 and all(x is not None and np.isfinite(x) for x in e)]
+    """Whole numbers of any size, every row a query or candidate of its own."""
+    fine = lambda e: e is not None and all(x is not None and np.isfinite(x) for x in e)
+    usable = [(i, [int(np.floor(scale * np.float64(np.float32(x)))) for x in e]) for i, e, _ in rows if i is not None and fine(e)]
     out = []
-    for i, q in usable:
+    for at, (i, q) in enumerate(usable):
         if i % 50:
             continue
-        best = sorted((-int(q @ e), j) for j, e in usable if j != i)[:k]
-        out += [(i, r, j, -s) for r, (s, j) in enumerate(best, 1)]
+        scores = [(-max(1 - 2**63, min(2**63 - 1, sum(a * b for a, b in zip(q, e, strict=True)))), j) for other, (j, e) in enumerate(usable) if other != at and len(e) == len(q)]
+        out += [(i, r, j, -s) for r, (s, j) in enumerate(sorted(scores)[:k], 1)]
     return sorted(out)
 
 
@@ -87,6 +89,16 @@ def test_top_k_is_exact(spark, seed):
     assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(rows)
 
 
+def test_top_k_of_large_components_repeated_ids_and_lengths(spark):
+    big = [(0, [100000.0, 1.0]), (100000, [100000.0, 0.0]), (1, [100000.0, 0.0]), (2, [200000.0, 0.0]), (50, [3e9, -2e9]), (3, [2e9, 3e9]), (4, [3e9, 2e9]), (100, [1e30, -1e30]), (5, [-1e30, 1e30]), (6, [2.0**60, 2.0**60])]
+    rows = [(i, e, "s") for i, e in big]
+    rows += [(0, [1.0, 2.0], "s"), (0, [1.0, 2.0], "s"), (0, [-1.0, 2.0], "s")]  # three more rows of one id ask
+    rows += [(150, [1.0, 2.0, 3.0], "s"), (7, [1.0, 0.0, 3.0], "s"), (8, [1.0, 1.0, 3.0], "s"), (200, [], "s"), (9, [], "s")]
+    rows += [(50, [0.5, 0.5, 0.5, 0.5], "s")] * 300  # one id and vector in most rows
+    got = topk.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=3)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got.collect()) == brute_top(rows, 3)
+
+
 def test_top_k_of_few_and_none(spark):
     rows = [(0, [1.0, 0.0, 0.0, 0.0], "s"), (1, [0.5, 0.0, 0.0, 0.0], "s")]
     got = topk.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=5, block=1)
@@ -146,6 +158,13 @@ def test_neighbours_of_few_and_none(spark):
     assert ann.search(vectors(spark, rows).limit(0), F.col("vec_id") % 50 == 0).collect() == []
 
 
+def test_neighbours_of_repeated_ids_and_lengths(spark):
+    rows = [(0, [1.0, 0.0], "s"), (0, [0.0, 1.0], "s"), (0, [0.0, 1.0], "s"), (1, [2.0, 0.1], "s"), (50, [1.0, 2.0, 3.0], "s"), (2, [3.0, 2.0, 1.0], "s"), (100, [4.0], "s"), (150, [], "s"), (200, [None, 1.0], "s")]
+    got = sorted((r["query_id"], r["rank"], r["vec_id"], round(r["score"], 6)) for r in ann.search(vectors(spark, rows), F.col("vec_id") % 50 == 0, k=2).collect())
+    near, far = round(2 / 4.01**0.5, 6), round(0.1 / 4.01**0.5, 6)
+    assert got == sorted([(0, 1, 1, near), (0, 2, 0, 0.0), (0, 1, 0, 1.0), (0, 2, 1, far), (0, 1, 0, 1.0), (0, 2, 1, far), (50, 1, 2, round(10 / 14, 6))])
+
+
 # --- WARC fixity
 
 
