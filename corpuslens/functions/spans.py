@@ -5,24 +5,23 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_SUBMATCHES = "array<struct<text:string,start:int,end:int>>"
-
+from corpuslens.functions import arrays
 
 def submatches(line: Column, java: str) -> Column:
     """Non-overlapping matches as array<struct<text, start, end>>, in bytes of the line.
 
-    The line is split at its matches, and one fold over gaps and matches adds up the byte
-    lengths. Matches without text are not listed.
+    The line is split at its matches; running sums over the gaps and matches give the
+    places. Matches without text are not listed.
     """
-    both = F.zip_with(F.split(line, java, -1), F.regexp_extract_all(line, F.lit(java), F.lit(0)), lambda gap, hit: F.struct(F.octet_length(gap).alias("gap"), hit.alias("hit")))
+    both = F.zip_with(F.split(line, java, -1), F.regexp_extract_all(line, F.lit(java), F.lit(0)), lambda gap, hit: F.struct(F.coalesce(F.octet_length(gap), F.lit(0)).alias("gap"), hit.alias("hit")))
 
-    def add(acc: Column, x: Column) -> Column:
-        start = acc["at"] + F.coalesce(x["gap"], F.lit(0))
-        end = start + F.coalesce(F.octet_length(x["hit"]), F.lit(0))
-        found = F.array(F.struct(x["hit"].alias("text"), start.alias("start"), end.alias("end")))
-        return F.struct(end.alias("at"), F.when(F.length(x["hit"]) > 0, F.concat(acc["out"], found)).otherwise(acc["out"]).alias("out"))
+    def placed(parts: Column) -> Column:
+        before = arrays.sums_before(F.transform(parts, lambda x: x["gap"] + F.coalesce(F.octet_length(x["hit"]), F.lit(0))))
+        at = lambda x, b: (b + x["gap"]).cast("int")
+        found = F.zip_with(parts, before, lambda x, b: F.struct(x["hit"].alias("text"), at(x, b).alias("start"), (at(x, b) + F.octet_length(x["hit"])).alias("end")))
+        return F.filter(found, lambda s: F.length(s["text"]) > 0)
 
-    return F.aggregate(both, F.struct(F.lit(0).alias("at"), F.expr(f"cast(array() as {_SUBMATCHES})").alias("out")), add, lambda acc: acc["out"])
+    return arrays.let(both, placed)
 
 
 def absolute(offset: Column, found: Column) -> Column:

@@ -15,8 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-_PLACED = "array<struct<at:bigint,line:string>>"
-
+from corpuslens.functions import arrays
 
 def split_lines(text: Column) -> Column:
     """The lines of a text, without their ends; none for a null or empty text."""
@@ -25,19 +24,23 @@ def split_lines(text: Column) -> Column:
 
 
 def placed_lines(text: Column) -> Column:
-    """array<struct<at, line>>: the lines with their byte offsets, by one fold in the row."""
-    return F.aggregate(
-        split_lines(text),
-        F.struct(F.lit(0).cast("long").alias("at"), F.expr(f"cast(array() as {_PLACED})").alias("out")),
-        lambda acc, line: F.struct((acc["at"] + F.octet_length(line) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), line.alias("line")))).alias("out")),
-        lambda acc: acc["out"],
-    )
+    """array<struct<at, line>>: the lines with their byte offsets, by running sums in the row."""
+
+    few = F.struct(F.lit(0).cast("long").alias("at"), F.expr("cast(array() as array<struct<at:bigint,line:string>>)").alias("out"))
+    add = lambda acc, line: F.struct((acc["at"] + F.octet_length(line) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), line.alias("line")))).alias("out"))
+
+    def many(lines: Column) -> Column:
+        starts = arrays.sums_before(F.transform(lines, lambda x: F.octet_length(x) + 1))
+        return F.zip_with(starts, lines, lambda at, line: F.struct(at.alias("at"), line.alias("line")))
+
+    ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
+    return F.when(ends >= arrays.STEP, arrays.let(split_lines(text), many)).otherwise(F.aggregate(split_lines(text), few, add, lambda acc: acc["out"]))
 
 
 def lines_of(table: DataFrame, file: str, text: str, *, by_window: bool = False) -> DataFrame:
     """Lines of a string column; each row is a file named by ``file``.
 
-    Offsets come from a fold inside the row, so nothing is shuffled. For rows of very many
+    Offsets are running sums inside the row, so nothing is shuffled. For rows of very many
     lines ``by_window`` numbers the exploded lines in a window over each file instead.
     """
     if by_window:
