@@ -30,7 +30,7 @@ def placed_lines(text: Column) -> Column:
     add = lambda acc, line: F.struct((acc["at"] + F.octet_length(line) + 1).alias("at"), F.concat(acc["out"], F.array(F.struct(acc["at"].alias("at"), line.alias("line")))).alias("out"))
 
     def many(lines: Column) -> Column:
-        starts = arrays.sums_before(F.transform(lines, lambda x: F.octet_length(x) + 1))
+        starts = arrays.sums_before(F.transform(lines, lambda x: F.octet_length(x) + 1), levels=2)
         return F.zip_with(starts, lines, lambda at, line: F.struct(at.alias("at"), line.alias("line")))
 
     ends = F.octet_length(text) - F.octet_length(F.replace(text, F.lit("\n"), F.lit("")))
