@@ -35,6 +35,8 @@ DIMENSIONS = 1024
 N = 3
 SAMPLE_DOCS = 20_000
 CHUNK_CHARS = 1 << 19
+#: N-grams that are multiplied at a time.
+GRAMS = 4_096
 #: Unit vectors are rounded to this part of one, so that sums do not depend on their order.
 GRAIN = 1 << 20
 
@@ -58,8 +60,9 @@ class Encoder:
                 self.known[c] = np.random.Generator(np.random.PCG64(1_000_003 + c)).integers(0, 2, self.dimensions, np.int8) * 2 - 1
         return np.stack([self.known[c] for c in codes.tolist()])
 
-    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Distinct n-grams (rows of code points) and the documents' counts of them."""
+    def counts(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Distinct n-grams (rows of code points); and gram, document and count of every pair
+        that occurs, by gram."""
         low = [f"\n{t.lower()}\n" for t in texts]
         codes = np.frombuffer("".join(low).encode("utf-32-le", "replace"), np.uint32)
         doc = np.repeat(np.arange(len(texts)), [len(t) for t in low])
@@ -70,16 +73,16 @@ class Encoder:
         keep[1:] |= doc[1:] != doc[:-1]
         code, doc = np.where(is_letter, codes, 0)[keep].astype(np.int64), doc[keep]
         if len(code) < N:
-            return np.zeros((0, N), np.int64), np.zeros((len(texts), 0), np.float32)
+            return np.zeros((0, N), np.int64), *(np.zeros(0, np.int64) for _ in range(3))
         a, b, c = code[:-2], code[1:-1], code[2:]
         fit = (b != 0) & (doc[2:] == doc[:-2])
         names, flat = np.unique((a << 42 | b << 21 | c)[fit], return_inverse=True)
         grams = np.stack((names >> 42, names >> 21 & 0x1FFFFF, names & 0x1FFFFF), axis=1)
-        table = np.bincount(doc[2:][fit] * len(names) + flat, minlength=len(texts) * len(names))
-        return grams, table.reshape(len(texts), len(names)).astype(np.float32)
+        pairs, count = np.unique(flat * len(texts) + doc[2:][fit], return_counts=True)
+        return grams, pairs // len(texts), pairs % len(texts), count
 
     def vectors(self, texts: list[str]) -> np.ndarray:
-        grams, counts = self.counts(texts)
+        grams, gram, doc, count = self.counts(texts)
         out = np.zeros((len(texts), self.dimensions), np.float32)
         if not len(grams):
             return out
@@ -87,10 +90,13 @@ class Encoder:
         place = place.reshape(grams.shape)
         rows = self.letters(codes)
         first, second = np.roll(rows, 2, axis=1), np.roll(rows, 1, axis=1)
-        for i in range(0, len(grams), 4096):  # bounded memory
-            p = place[i : i + 4096]
+        for i in range(0, len(grams), GRAMS):  # bounded memory: a table of texts x GRAMS
+            p = place[i : i + GRAMS]
             bound = first[p[:, 0]] * second[p[:, 1]] * rows[p[:, 2]]
-            out += counts[:, i : i + 4096] @ bound.astype(np.float32)
+            here = slice(*np.searchsorted(gram, (i, i + len(p))))
+            table = np.zeros((len(texts), len(p)), np.float32)
+            table[doc[here], gram[here] - i] = count[here]
+            out += table @ bound.astype(np.float32)
         return out
 
     def batches(self, texts: list[str | None]) -> Iterator[tuple[int, int, np.ndarray]]:

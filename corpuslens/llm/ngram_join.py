@@ -166,7 +166,7 @@ FIELDS = ["doc_id", "n", "node", "other", "part", "counts"]
 PARTS = 16
 
 
-def _profiles(n: int, bits: int):
+def _profiles(n: int, bits: int, keep: tuple[str, ...]):
     """Documents' set sizes and names; after them this task's counters, in PARTS parts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,10 +177,10 @@ def _profiles(n: int, bits: int):
                 grams = np.concatenate(sets)
                 np.add.at(counts, (grams >> U(64 - bits)).astype(np.int64), np.uint32(1))
                 sizes = pa.array([len(s) for s in sets], pa.int64())
-                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), sizes, *set_names(sets), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary())], names=FIELDS)
+                yield pa.record_batch([batch.column("doc_id").slice(i, j - i), sizes, *set_names(sets), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary()), *(batch.column(c).slice(i, j - i) for c in keep)], names=[*FIELDS, *keep])
         if counts.any():
             pieces = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, PARTS)]
-            yield pa.record_batch([*(pa.nulls(PARTS, pa.int64()) for _ in FIELDS[:4]), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary())], names=FIELDS)
+            yield pa.record_batch([*(pa.nulls(PARTS, pa.int64()) for _ in FIELDS[:4]), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary()), *(pa.nulls(PARTS, pa.int64()) for _ in keep)], names=[*FIELDS, *keep])
 
     return run
 
@@ -463,29 +463,32 @@ class Trie:
 
 
 def _joined_units(percent: int):
-    """Links (a, b) as stars, from rows (unit, part, rep, ask, grams) sorted by the first three."""
+    """Components of two sets and more, from rows of units sorted by unit, part and class: each
+    set's class, the smallest class of its component, and the smallest rep there."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def close():
             if len(sets) < 2:
                 return None
             labels = Trie(sets).components(percent, None if all(asks) else np.array(asks))
-            own, least = np.array(reps), np.full(len(reps), 2**63 - 1)
+            own, least, rep = np.array(classes), np.full(len(classes), 2**63 - 1), np.full(len(classes), 2**63 - 1)
             np.minimum.at(least, labels, own)
-            far = np.flatnonzero(least[labels] != own)
-            return pa.record_batch([own[far], least[labels][far]], names=["a", "b"])
+            np.minimum.at(rep, labels, np.array(reps))
+            more = np.bincount(labels, minlength=len(own))[labels] > 1
+            return pa.record_batch([own[more], least[labels][more], rep[labels][more]], names=["a", "b", "rep"])
 
-        unit, sets, reps, asks = None, [], [], []
+        unit, sets, classes, reps, asks = None, [], [], [], []
         for batch in batches:
-            for u, p, rep, ask, grams in zip(*(batch.column(k).to_pylist() for k in ("unit", "part", "rep", "ask", "grams")), strict=True):
+            for u, p, c, rep, ask, grams in zip(*(batch.column(k).to_pylist() for k in ("unit", "part", "class", "rep", "ask", "grams")), strict=True):
                 if (u, p) != unit:
                     if (out := close()) is not None:
                         yield out
-                    unit, sets, reps, asks = (u, p), [], [], []
-                if reps and reps[-1] == rep:
+                    unit, sets, classes, reps, asks = (u, p), [], [], [], []
+                if classes and classes[-1] == c:
                     asks[-1] |= ask
                     continue
                 sets.append(np.frombuffer(grams, U))
+                classes.append(c)
                 reps.append(rep)
                 asks.append(ask)
         if (out := close()) is not None:
@@ -495,11 +498,11 @@ def _joined_units(percent: int):
 
 
 def _links(units: DataFrame, percent: int) -> DataFrame:
-    dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part", "rep")
-    return dealt.mapInArrow(_joined_units(percent), "a long, b long")
+    dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part", "class")
+    return dealt.mapInArrow(_joined_units(percent), "a long, b long, rep long")
 
 
-KEPT = ["rep", "cluster", "m", "blocks"]
+KEPT = ["class", "rep", "cluster", "m", "blocks"]
 
 
 def _grams(n: int):
@@ -523,25 +526,28 @@ def _units(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     if members.count() <= SENT_ROWS:
         members = F.broadcast(members)
     texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep").select(*KEPT, "node", "other", "text")
-    return texts.mapInArrow(_grams(n), "rep long, cluster long, m long, blocks long, grams binary")
+    return texts.mapInArrow(_grams(n), "class long, rep long, cluster long, m long, blocks long, grams binary")
 
 
-def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, extra: int = 10, bits: int | None = None, unit_sets: int = UNIT_SETS, unit_grams: int = UNIT_GRAMS, pivots: int = PIVOTS, edges: int = EDGES) -> DataFrame:
-    """(doc_id, n_shingles, component_id) of every row of ``docs``.
+def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, extra: int = 10, bits: int | None = None, unit_sets: int = UNIT_SETS, unit_grams: int = UNIT_GRAMS, pivots: int = PIVOTS, edges: int = EDGES, keep: tuple[str, ...] = ()) -> DataFrame:
+    """(doc_id, n_shingles, component_id, group_id) of every row of ``docs``.
 
     Documents are linked if ``100 * |intersection| >= percent * |union|``; component_id is
-    the smallest doc_id that links reach.
+    the smallest doc_id that links reach. group_id tells components apart
+    whose smallest doc_id is the same because rows share an id (null for empty sets).
+    ``keep`` names further columns of whole numbers that the result has too.
     """
     spark = docs.sparkSession
-    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
     if bits is None:
         bits = int(np.clip(16 + np.ceil(np.log2(max(1, plain.rdd.getNumPartitions()))), 18, 24))
-    as_bytes = plain.select("doc_id", F.col("text").cast("binary").alias("text"))
-    profiles = written(as_bytes.mapInArrow(_profiles(n, bits), PROFILE), "profiles")
+    as_bytes = plain.select("doc_id", F.col("text").cast("binary").alias("text"), *keep)
+    profiles = written(as_bytes.mapInArrow(_profiles(n, bits, keep), ", ".join([PROFILE, *(f"`{c}` long" for c in keep)])), "profiles")
+    as_bytes = as_bytes.select("doc_id", "text")
     order = spark.sparkContext.broadcast(frequency_order(profiles, bits))  # 2**bits bytes, 16 MB at most
-    rows = profiles.filter("part IS NULL").select("doc_id", "n", "node", "other")
+    rows = profiles.filter("part IS NULL").select("doc_id", "n", "node", "other", *keep)
     classes = rows.filter("n > 0").groupBy("node", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("k"))
-    classes = written(classes, "classes")
+    classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
     # Chains of the nodes that share an n-gram; the heads of a salted chain meet in a node of their own.
     entries = as_bytes.select("text").mapInArrow(_prefixes(n, bits, percent, extra, order), "gram long, salt int, node long, need int")
@@ -559,42 +565,45 @@ def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     large = written(sizes.select("cluster", "m", blocks.alias("blocks")).filter("blocks > 1"), "large")
     some = large.count()  # at most a class in 1,000, or an n-gram in UNIT_GRAMS
     wide = F.broadcast(large) if some <= SENT_ROWS else large
-    members = members.select("rep", "node", "other", "cluster").join(wide, "cluster", "left").fillna(1, ["blocks"])
-    small = _units(as_bytes, members.filter("blocks = 1"), n).select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "rep", F.lit(True).alias("ask"), "grams")
-    joined = _links(small, percent).select(F.col("a").alias("rep"), F.col("b").alias("comp"))  # a cluster in one unit: its components
+    members = members.select("class", "rep", "node", "other", "cluster").join(wide, "cluster", "left").fillna(1, ["blocks"])
+    small = _units(as_bytes, members.filter("blocks = 1"), n).select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "class", "rep", F.lit(True).alias("ask"), "grams")
+    joined = _links(small, percent).select(F.col("a").alias("class"), F.col("b").alias("group_id"), F.col("rep").alias("component_id"))  # a cluster in one unit: its components
     if some:
         links = _large_links(written(_units(as_bytes, members.filter("blocks > 1"), n), "sets"), percent, unit_sets, pivots, edges)
-        joined = joined.unionByName(components(links, edges).filter("node <> comp").select(F.col("node").alias("rep"), "comp"))
+        named = components(links, edges).select(F.col("node").alias("class"), F.col("comp").alias("group_id")).join(classes.select("class", "rep"), "class")
+        least = written(named.groupBy("group_id").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")), "least")
+        joined = joined.unionByName(spread_join(named.drop("rep"), least, ["group_id"], ["component_id"]))
 
-    known = classes.select("node", "other", "rep", "k").join(joined, "rep", "left").select("node", "other", "k", F.coalesce("comp", "rep").alias("component_id"))
-    known = written(known, "known")
-    out = spread_join(rows.filter("n > 0"), known, ["node", "other"], ["component_id"])
-    empty = rows.filter("n = 0").select("doc_id", F.col("n").alias("n_shingles"), F.col("doc_id").alias("component_id"))
-    return out.select("doc_id", F.col("n").alias("n_shingles"), "component_id").unionByName(empty)
+    known = classes.join(joined, "class", "left")
+    known = written(known.select("node", "other", "k", F.coalesce("component_id", "rep").alias("component_id"), F.coalesce("group_id", "class").alias("group_id")), "known")
+    out = spread_join(rows.filter("n > 0"), known, ["node", "other"], ["component_id", "group_id"])
+    names = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "group_id", *keep]
+    empty = rows.filter("n = 0").withColumns({"component_id": F.col("doc_id"), "group_id": F.lit(None).cast("long")})
+    return out.select(*names).unionByName(empty.select(*names))
 
 
 def _large_links(large: DataFrame, percent: int, unit_sets: int, pivots: int, edges: int) -> DataFrame:
     """Links of clusters of several blocks: against pivots, then what is left, in blocks."""
-    block = F.pmod(F.xxhash64("rep"), F.col("blocks"))
-    every = large.select(F.col("cluster").alias("unit"), "blocks", block.alias("part"), "rep", "grams")
+    block = F.pmod(F.xxhash64("class"), F.col("blocks"))
+    every = large.select(F.col("cluster").alias("unit"), "blocks", block.alias("part"), "class", "rep", "grams")
     # Pivots: the smallest names by hash, found by a bounded aggregate on each cluster.
-    chosen = large.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("rep", F.lit(7)), F.greatest(F.col("m") / (4 * pivots), F.lit(1)).cast("long")) == 0, F.col("rep")))), 1, pivots).alias("pivots"))
-    pivot = every.join(F.broadcast(chosen.select(F.explode("pivots").alias("rep"))) if large.count() <= SENT_ROWS else chosen.select(F.explode("pivots").alias("rep")), "rep")
+    chosen = large.groupBy("cluster").agg(F.slice(F.array_sort(F.collect_set(F.when(F.pmod(F.xxhash64("class", F.lit(7)), F.greatest(F.col("m") / (4 * pivots), F.lit(1)).cast("long")) == 0, F.col("class")))), 1, pivots).alias("pivots"))
+    pivot = every.join(F.broadcast(chosen.select(F.explode("pivots").alias("class"))) if large.count() <= SENT_ROWS else chosen.select(F.explode("pivots").alias("class")), "class")
     spread = pivot.withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    first = every.unionByName(spread.select(every.columns)).select("unit", "part", "rep", F.lit(True).alias("ask"), "grams")
-    links = written(_links(first, percent), "links")
+    first = every.unionByName(spread.select(every.columns)).select("unit", "part", "class", "rep", F.lit(True).alias("ask"), "grams")
+    links = written(_links(first, percent).select("a", "b").filter("a <> b"), "links")
 
     # Queries are the sets outside their cluster's largest component, in blocks; each block
     # meets every block of its cluster.
-    comp = components(links, edges).withColumnRenamed("node", "rep")
-    labelled = every.join(comp, "rep", "left").withColumn("comp", F.coalesce("comp", "rep"))
+    comp = components(links, edges).withColumnRenamed("node", "class")
+    labelled = every.join(comp, "class", "left").withColumn("comp", F.coalesce("comp", "class"))
     count = labelled.groupBy("unit", "comp").agg(F.count("*").alias("k"))
     main = count.groupBy("unit").agg(F.max_by("comp", F.struct("k", "comp")).alias("main"), F.sum("k").alias("total"), F.max("k").alias("most"))
     main = main.filter("total > most").withColumn("ways", F.ceil((F.col("total") - F.col("most")) / unit_sets))
     left = written(labelled.join(main, "unit"), "left")
-    way = F.pmod(F.xxhash64("rep", F.lit(11)), F.col("ways"))
+    way = F.pmod(F.xxhash64("class", F.lit(11)), F.col("ways"))
     number = (F.col("way") * F.col("blocks") + F.col("part")).alias("part")
     asks = left.filter("comp <> main").withColumn("way", way).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     rest = left.withColumn("way", F.explode(F.sequence(F.lit(0).cast("long"), F.col("ways") - 1)))
-    units = asks.select("unit", number, "rep", F.lit(True).alias("ask"), "grams").unionByName(rest.select("unit", number, "rep", F.lit(False).alias("ask"), "grams"))
-    return links.unionByName(written(_links(units, percent), "links"))
+    units = asks.select("unit", number, "class", "rep", F.lit(True).alias("ask"), "grams").unionByName(rest.select("unit", number, "class", "rep", F.lit(False).alias("ask"), "grams"))
+    return links.unionByName(written(_links(units, percent).select("a", "b").filter("a <> b"), "links"))

@@ -5,10 +5,15 @@ that key in ranges, distributed prefix sums of their sizes are computed range by
 and each source is cut exactly where its budget ends; a source whose budget exceeds its
 size is repeated in whole epochs first. Only DataFrame operations are used.
 
-Defined results: a null or empty text has size 0; a null source is a source of its own
-and comes last; repeated rows and repeated ids are separate documents, ties of the key
-being broken by id and then by size (equal rows are interchangeable); an empty table
-gives an empty result; other columns of the input, whatever their names, are not read.
+Documents of one id, source and size are counted first and share a place; their copies are
+told apart when the result is written out, a bounded number at a time. So a null or
+repeated id that holds a large part of all rows stays one row until then.
+
+Defined results: a null or empty text has size 0, a very long one is counted whole; a null
+source is a source of its own and comes last; repeated rows and repeated ids are separate
+documents, ties of the key being broken by id and then by size (documents equal in these
+are interchangeable); an empty table gives an empty result; other columns of the input,
+whatever their names, are not read.
 """
 
 from __future__ import annotations
@@ -19,10 +24,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import WORD, written
+from corpuslens.llm.common import WORD, spread_join, written
 
 #: Rows that one window partition should hold; the number of ranges follows from it.
 RANGE_ROWS = 20_000
+NAMED = ("doc_id", "source", "size")
 
 
 def word_count(text: Column) -> Column:
@@ -58,36 +64,57 @@ def mix_sources(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A document is taken ``epochs`` times whole and then ``part`` of its words once more.
     """
-    sized = written(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size")), "sized")
+    sized = docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), word_count(F.col(text)).alias("size"))
+    sized = written(sized.groupBy(*NAMED).agg(F.count("*").alias("copies")), "sized")
     digits = max(0, min(6, math.ceil(math.log(max(1, sized.count()) / RANGE_ROWS, 16))))
     keyed = sized.withColumn("key", F.coalesce(F.md5(F.col("doc_id").cast("string")), F.lit(""))).withColumn("range", F.substring("key", 1, digits))
-    ranges = keyed.groupBy("source", "range").agg(F.sum("size").alias("range_size"))
+    words = F.col("size") * F.col("copies")
+    ranges = keyed.groupBy("source", "range").agg(F.sum(words).alias("range_size"))
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     ranges = ranges.withColumn("range_start", F.coalesce(F.sum("range_size").over(before), F.lit(0)))
     targets = source_targets(ranges.groupBy("source").agg(F.sum("range_size").alias("source_size")), weights, most)
     ranges = ranges.select(F.col("source").alias("s"), F.col("range").alias("r"), "range_start")
     starts = ranges.join(targets.withColumnRenamed("source", "t"), F.col("s").eqNullSafe(F.col("t"))).drop("t")
     within = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
-    budget = F.floor(F.col("target") + 0.5)
-    rest = F.col("budget") - F.col("epochs") * F.col("source_size")
-    return (
-        keyed.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0)))
+    placed = (
+        keyed.withColumn("inside", F.coalesce(F.sum(words).over(within), F.lit(0)))
         .join(starts, F.col("source").eqNullSafe(F.col("s")) & F.col("range").eqNullSafe(F.col("r")))
-        .withColumn("budget", budget)
+        .withColumn("budget", F.floor(F.col("target") + 0.5))
         .withColumn("epochs", F.coalesce(F.expr("budget div nullif(source_size, 0)"), F.lit(0)))
-        .withColumn("part", F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("range_start") - F.col("inside"))).cast("long"))
-        .select("doc_id", "source", "size", "source_size", "target", "epochs", "part")
+        .withColumn("room", F.col("budget") - F.col("epochs") * F.col("source_size") - F.col("range_start") - F.col("inside"))
     )
+    placed = written(placed.select(*NAMED, "copies", "source_size", "target", "epochs", "room"), "placed")
+    last = lambda first: F.sequence(first, F.least(F.col("copies"), first + RANGE_ROWS) - 1)
+    zero = F.lit(0).cast("long")
+    few = placed.filter(F.col("copies") <= RANGE_ROWS).withColumn("copy", F.explode(last(zero)))
+    many = placed.filter(F.col("copies") > RANGE_ROWS).withColumn("first", F.explode(F.sequence(zero, F.col("copies") - 1, F.lit(RANGE_ROWS).cast("long"))))
+    many = many.repartition("doc_id", "first").withColumn("copy", F.explode(last(F.col("first")))).drop("first")
+    part = F.greatest(F.lit(0), F.least(F.col("size"), F.col("room") - F.col("copy") * F.col("size"))).cast("long").alias("part")
+    return few.unionByName(many).select(*NAMED, "source_size", "target", "epochs", part)
+
+
+def _name(doc_id: Column, source: Column, size: Column) -> Column:
+    """A string for each id, source and size, nulls included."""
+    said = lambda c: F.coalesce(F.concat(F.length(c.cast("string")).cast("string"), F.lit(":"), c.cast("string")), F.lit("-"))
+    return F.concat(said(doc_id), said(source), size.cast("string"))
 
 
-def repeat_documents(docs: DataFrame, mix: DataFrame, *, doc_id: str = "doc_id") -> DataFrame:
+def repeat_documents(docs: DataFrame, mix: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source") -> DataFrame:
     """The rows of ``docs`` as often as the mix takes them; documents are not split.
 
     The last, partly taken document of a source counts as taken if at least half of it
-    is. Repeated ids are joined once, by their largest count.
+    is. Documents equal in id, source and size are taken alike, but for those among which
+    a source's budget ends: of these a share by hash of the row is taken once more.
     """
-    times = mix.withColumn("times", F.col("epochs") + (F.col("part") * 2 >= F.col("size")).cast("long") * (F.col("part") > 0).cast("long"))
-    times = times.groupBy(F.col("doc_id").alias("__id")).agg(F.max("times").alias("__times"))
-    joined = docs.join(times, F.col(doc_id).eqNullSafe(F.col("__id")))
-    copies = F.explode(F.when(F.col("__times") > 0, F.sequence(F.lit(1).cast("long"), F.col("__times"))))
-    return joined.withColumn("__copy", copies).select([joined[f"`{c}`"] for c in docs.columns])
+    names = docs.columns
+    own, place = "__named", "__row"
+    while {own, place} & set(names):
+        own, place = own + "_", place + "_"
+    times = F.col("epochs") + ((F.col("part") * 2 >= F.col("size")) & (F.col("part") > 0)).cast("long")
+    each = mix.select(_name(F.col("doc_id"), F.col("source"), F.col("size")).alias(own), times.alias("times"))
+    each = written(each.groupBy(own).agg(F.count("*").alias("k"), F.min("times").alias("__low"), F.sum("times").alias("__sum")).withColumn("__k", F.col("k")), "times")
+    rows = docs.withColumn(own, _name(F.col(doc_id), F.col(source), word_count(F.col(text)))).withColumn(place, F.monotonically_increasing_id())
+    joined = spread_join(rows, each, [own], ["__low", "__sum", "__k"])
+    more = F.col("__sum") - F.col("__low") * F.col("__k")
+    count = F.col("__low") + (F.pmod(F.xxhash64(place), F.col("__k")) < more).cast("long")
+    return joined.withColumn("__copy", F.explode(F.when(count > 0, F.sequence(F.lit(1).cast("long"), count)))).select([joined[f"`{c}`"] for c in names])

@@ -92,6 +92,14 @@ def test_components_of_paths_hubs_and_loops(spark, bound):
     assert {v: got.get(v, v) for v in root} == root
 
 
+def test_rows_that_share_an_id_but_not_a_text_are_not_joined(spark):
+    a, b = (" ".join(f"{c}{i}" for i in range(30)) for c in "ab")
+    docs = spark.createDataFrame([(5, a), (9, a + " x"), (5, b), (3, b + " y"), (5, "alone " * 9)], "doc_id long, text string")
+    for unit_sets in (1000, 1):
+        got = sorted((r["doc_id"], r["component_id"]) for r in nj.near_components(docs, unit_sets=unit_sets, pivots=1).collect())
+        assert got == [(3, 3), (5, 3), (5, 5), (5, 5), (9, 5)]
+
+
 def test_the_tree_finds_what_pairs_find():
     import numpy as np
 

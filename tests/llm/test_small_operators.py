@@ -333,13 +333,65 @@ def test_mix(spark, monkeypatch, range_rows):
 
 def test_repeats(spark):
     docs = spark.createDataFrame([(1, "a b", "s"), (2, "c d", "s"), (3, "e f", "s")], "doc_id long, text string, source string")
-    mix = spark.createDataFrame([(1, 2, 2, 0), (2, 2, 1, 1), (3, 2, 0, 0)], "doc_id long, size long, epochs long, part long")
+    mix = spark.createDataFrame([(1, 2, "s", 2, 0), (2, 2, "s", 1, 1), (3, 2, "s", 0, 0)], "doc_id long, size long, source string, epochs long, part long")
     assert sorted(r["doc_id"] for r in source_mix.repeat_documents(docs, mix).collect()) == [1, 1, 2, 2]
 
 
+def test_repeats_of_null_ids_in_several_sources(spark):
+    rows = [(None, "a b c", "p")] * 60 + [(None, "d e f", "q")] * 40 + [(None, "g h", None)] * 20 + [(1, "x y z", "q"), (1, "x", "q")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(3)
+    mix = source_mix.mix_sources(docs)
+    target = {r["source"]: r["target"] for r in mix.collect()}
+    took: dict = {}
+    for r in source_mix.repeat_documents(docs, mix).collect():
+        took[r["source"]] = took.get(r["source"], 0) + len(r["text"].split())
+    assert all(abs(took[s] - target[s]) <= 0.25 * target[s] + 6 for s in target), (took, target)
+
+
 # --- language ID
 
 
+def plain_vector(text, dimensions=language_id.DIMENSIONS):
+    """Trigrams within words and their neighbouring spaces, one by one."""
+    letters = "".join(c if c.isalpha() else " " for c in (text or "").lower())
+    run = re.sub(" +", " ", f" {letters} ")
+    known = lambda c: np.random.Generator(np.random.PCG64(1_000_003 + (0 if c == " " else ord(c)))).integers(0, 2, dimensions, np.int8).astype(np.int64) * 2 - 1
+    out = np.zeros(dimensions, np.int64)
+    for i in range(len(run) - 2):
+        if run[i + 1] != " ":
+            out += np.roll(known(run[i]), 2) * np.roll(known(run[i + 1]), 1) * known(run[i + 2])
+    return out
+
+
+def test_predictions_equal_plain_cosines(spark):
+    rnd = random.Random(9)
+    rows = [(i, "".join(rnd.choice("abcdeé日 ,1\n") for _ in range(rnd.randrange(0, 60))), rnd.choice(["b", "a", None])) for i in range(60)]
+    rows += [(100, None, "a"), (101, "", "b"), (102, "12 !", "a"), (103, "abc abc", "a"), (None, "abc abc", "b")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    sums: dict = {}
+    for i, t, lang in rows:
+        if i is not None and lang and t is not None and zlib.crc32(str(i).encode()) % 5:
+            v = plain_vector(t)
+            sums[lang] = sums.get(lang, 0) + v / max(np.linalg.norm(v), 1e-9)
+    names = sorted(sums)
+    for r in language_id.identify_language(docs).collect():
+        [text] = {t for i, t, _ in rows if i == r["doc_id"]}
+        v = plain_vector(text)
+        if not v.any():
+            assert (r["lang_pred"], r["score"]) == ("und", 0.0)
+            continue
+        cosine = [v @ sums[k] / np.linalg.norm(v) / np.linalg.norm(sums[k]) for k in names]
+        assert abs(r["score"] - max(0.0, *cosine)) < 1e-4 and cosine[names.index(r["lang_pred"])] > max(cosine) - 1e-4
+
+
+def test_equal_prototypes_go_to_the_smaller_name(spark):
+    docs = spark.createDataFrame([(i, "the same text", lang) for i, lang in enumerate(["z", "m"] * 20)], "doc_id long, text string, lang string")
+    v = language_id.Encoder().vectors(["the same text"])[0].astype(float)
+    got = language_id.identify(docs, {"m": v, "z": v.copy()}, keep=("doc_id",)).collect()
+    assert {r["lang_pred"] for r in got} == {"m"}
+
+
+
 def test_languages(spark):
     rnd = random.Random(8)
     stems = {"aa": ["the", "ing", "wh", "ough", "tion"], "bb": ["ção", "ões", "que", "nh", "lh"], "cc": ["sch", "ung", "ein", "ich", "ß"]}
