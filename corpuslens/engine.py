@@ -68,9 +68,7 @@ class Engine:
         began = time.time()
         hooks.check(options.max_results)
         compiled = Patterns.of(self.spark, patterns, options)
-        for p in patterns:
-            if not options.fixed and complexity.dangerous(p):
-                raise ValueError(f"pattern may backtrack without end: {p}")
+        warnings = [f"pattern may be slow on long lines: {p}" for p in patterns if not options.fixed and complexity.dangerous(p)]
         found, skipped = files.resolve(self.sandbox.check(paths), self.options)
         lines = self.lines(found)
         listed = files.file_table(self.spark, found)
@@ -85,7 +83,7 @@ class Engine:
             for r in add_submatches(best, compiled).toLocalIterator()
         ]
         request = request_id()
-        out = {"request_id": request, "patterns": compiled.ids, "files": {v: k for k, v in ids.items()}, "matches": matches, "scanned_files": found, "skipped_files": skipped, "max_results": options.max_results, "context_lines": {}}
+        out = {"request_id": request, "patterns": compiled.ids, "files": {v: k for k, v in ids.items()}, "matches": matches, "scanned_files": found, "skipped_files": skipped, "max_results": options.max_results, "context_lines": {}, "warnings": warnings}
         if options.before or options.after:
             limited = best.select("pattern", "file", "offset", "line_no")
             around = context.groups(context.context(lines, limited, options.before, options.after).withColumn("file", F.element_at(F.create_map(*(F.lit(x) for kv in ids.items() for x in kv)), F.col("file"))))

@@ -283,6 +283,6 @@ def report(patterns: DataFrame, column: str = "regex") -> DataFrame:
 
 
 def dangerous(pattern: str) -> bool:
-    """Whether a pattern should be refused by a backtracking engine."""
+    """Whether a search should warn that a backtracking engine may be slow on a pattern."""
     f = features(pattern)
     return f["exponential"] > 0 or f["degree"] >= 4

@@ -89,6 +89,11 @@ def trace_multi_pattern(spark, sf_dir):
     return searched(spark, sf_dir, THE, AND, LICENSE)
 
 
+@register(hits(has(r"(\d{1,3}\.){3}\d{1,3}")))
+def trace_bounded_repeats(spark, sf_dir):
+    return searched(spark, sf_dir, r"(\d{1,3}\.){3}\d{1,3}")
+
+
 @register(hits(has("(?i)the")))
 def trace_ignore_case(spark, sf_dir):
     return searched(spark, sf_dir, "the", ignore_case=True)
