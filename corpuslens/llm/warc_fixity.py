@@ -9,7 +9,8 @@ joins, only below nodes that differ, until it holds the differing records.
 Groups are bounded by the fan-out at every level, and only digests are shuffled.
 
 Defined results: null urls and texts count as empty; a replica's record that is null is
-missing; repeated rows are separate records (equal ones are interchangeable); an empty
+missing, and one whose own record is null is extra (its digest is null, its length 0; where
+both are null they agree); very long records are hashed whole; repeated rows are separate records (equal ones are interchangeable); an empty
 table gives an empty result; only the named columns are read.
 """
 
@@ -43,9 +44,10 @@ def response_record(page_id: Column, url: Column, html: Column) -> Column:
 def manifest(records: DataFrame, key: str, record: str, replica: str, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
     """(key, archive, position, offset, length, digest, replica_digest) of every record."""
     digest = F.sha2(F.col(record).cast("binary"), 256)
-    leaves = written(records.select(F.col(key).alias("key"), F.octet_length(record).cast("long").alias("length"), digest.alias("digest"), F.sha2(F.col(replica).cast("binary"), 256).alias("replica_digest")), "leaves")
+    leaves = written(records.select(F.col(key).alias("key"), F.coalesce(F.octet_length(record).cast("long"), F.lit(0).cast("long")).alias("length"), digest.alias("digest"), F.sha2(F.col(replica).cast("binary"), 256).alias("replica_digest")), "leaves")
     archives = max(1, math.ceil(leaves.count() / archive_records))
-    number = F.conv(F.substring("digest", 1, 8), 16, 10).cast("long") % archives
+    named = F.coalesce("digest", "replica_digest", F.lit("0"))
+    number = F.conv(F.substring(named, 1, 8), 16, 10).cast("long") % archives
     order = Window.partitionBy("archive").orderBy(F.col("key").asc_nulls_first(), "digest", F.col("replica_digest").asc_nulls_first())
     placed = leaves.withColumn("archive", number).withColumn("position", (F.row_number().over(order) - 1).cast("long"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
@@ -55,7 +57,7 @@ def manifest(records: DataFrame, key: str, record: str, replica: str, archive_re
 def trees(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
     """Levels (archive, place, start, end, digest, replica_digest) from the leaves to the roots."""
     missing = F.lit("-")
-    level = leaves.select("archive", F.col("position").alias("place"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), "digest", F.coalesce("replica_digest", missing).alias("replica_digest"))
+    level = leaves.select("archive", F.col("position").alias("place"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.coalesce("digest", missing).alias("digest"), F.coalesce("replica_digest", missing).alias("replica_digest"))
     top = leaves.agg(F.max("position")).first()[0] or 0
     levels = [level]
     while top > 0:
@@ -79,13 +81,13 @@ def differing(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
 
 
 def audit(records: DataFrame, *, key: str, record: str, replica: str, archive_records: int = ARCHIVE_RECORDS, fanout: int = FANOUT) -> DataFrame:
-    """The manifest with each record's status (ok, corrupt, missing) and its archive's roots."""
+    """The manifest with each record's status (ok, corrupt, missing, extra) and its archive's roots."""
     leaves = written(manifest(records, key, record, replica, archive_records), "manifest")
     levels = trees(leaves, fanout)
     bad = differing(levels, fanout).select(F.col("archive").alias("__a"), F.col("place").alias("__p"), F.lit(True).alias("bad"))
     roots = levels[-1].select(F.col("archive").alias("__r"), F.col("digest").alias("root"), F.col("replica_digest").alias("replica_root"))
     out = leaves.join(bad, (F.col("archive") == F.col("__a")) & (F.col("position") == F.col("__p")), "left")
-    status = F.when(F.col("bad").isNull(), "ok").when(F.col("replica_digest").isNull(), "missing").otherwise("corrupt")
+    status = F.when(F.col("bad").isNull(), "ok").when(F.col("replica_digest").isNull(), "missing").when(F.col("digest").isNull(), "extra").otherwise("corrupt")
     return out.join(roots, F.col("archive") == F.col("__r")).select("key", "archive", "position", "offset", "length", "digest", status.alias("status"), "root", "replica_root")
 
 

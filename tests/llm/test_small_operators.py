@@ -187,6 +187,13 @@ def test_audit_finds_exactly_the_faults(spark):
     assert warc_fixity.audit(records.limit(0), key="page_id", record="record", replica="replica").collect() == []
 
 
+def test_records_of_one_side_only(spark):
+    rows = [(1, "a", "a"), (2, None, "b"), (3, "c", None), (4, None, None), (5, "x" * 3_000_000, "x" * 2_999_999 + "y")]
+    records = spark.createDataFrame(rows, "page_id long, record string, replica string")
+    got = {r["key"]: (r["status"], r["length"]) for r in warc_fixity.audit(records, key="page_id", record="record", replica="replica", archive_records=2, fanout=2).collect()}
+    assert got == {1: ("ok", 1), 2: ("extra", 0), 3: ("missing", 1), 4: ("ok", 0), 5: ("corrupt", 3_000_000)}
+
+
 def test_roots_are_merkle_roots(spark):
     records = spark.createDataFrame([(i, f"r{i}", f"r{i}") for i in range(9)], "page_id long, record string, replica string")
     leaves = [hashlib.sha256(f"r{i}".encode()).hexdigest() for i in range(9)]
