@@ -57,11 +57,14 @@ def fresh_path(spark: SparkSession, name: str) -> str:
     return path
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
-    """``df`` as a table in the shared folder: computed once, kept if executors are lost."""
+def written(df: DataFrame, name: str, by: str | None = None) -> DataFrame:
+    """``df`` as a table in the shared folder: computed once, kept if executors are lost.
+
+    ``by`` is a last column whose values, never null, become folders.
+    """
     spark = df.sparkSession
     path = fresh_path(spark, name)
-    df.write.parquet(path)
+    (df.write.partitionBy(by) if by else df.write).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

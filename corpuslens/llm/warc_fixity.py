@@ -4,7 +4,9 @@ Pages become WARC response records. Records are dealt to archives by digest; ins
 archive they are ordered and get byte offsets. The digests of the records are the leaves
 of a tree for each archive and replica, and a node over ``FANOUT`` consecutive children
 covers an ordered range of offsets. An audit compares the replicas' roots and descends, by
-joins, only below nodes that differ, until it holds the differing records.
+joins, only below nodes that differ, until it holds the differing records. Leaves lie in
+folders by ``SHARDS`` of archives: the descent reads the folders of archives whose roots
+differ, and none where all roots agree.
 
 Groups are bounded by the fan-out at every level, and only digests are shuffled.
 
@@ -27,6 +29,8 @@ from corpuslens.llm.common import written
 FANOUT = 16
 #: Records that an archive holds on average.
 ARCHIVE_RECORDS = 4_096
+#: Folders that leaves lie in, and the most numbers that the descent brings to the driver.
+SHARDS = 4_096
 #: Fixed value: the date of the records, so that reruns agree.
 DATE = "2024-01-01T00:00:00Z"
 
@@ -42,22 +46,24 @@ def response_record(page_id: Column, url: Column, html: Column) -> Column:
 
 
 def manifest(records: DataFrame, key: str, record: str, replica: str, archive_records: int = ARCHIVE_RECORDS) -> DataFrame:
-    """(key, archive, position, offset, length, digest, replica_digest) of every record."""
+    """(key, archive, position, offset, length, digest, replica_digest, shard) of every record."""
     digest = F.sha2(F.col(record).cast("binary"), 256)
     leaves = written(records.select(F.col(key).alias("key"), F.coalesce(F.octet_length(record).cast("long"), F.lit(0).cast("long")).alias("length"), digest.alias("digest"), F.sha2(F.col(replica).cast("binary"), 256).alias("replica_digest")), "leaves")
     archives = max(1, math.ceil(leaves.count() / archive_records))
     named = F.coalesce("digest", "replica_digest", F.lit("0"))
     number = F.conv(F.substring(named, 1, 8), 16, 10).cast("long") % archives
-    order = Window.partitionBy("archive").orderBy(F.col("key").asc_nulls_first(), "digest", F.col("replica_digest").asc_nulls_first())
-    placed = leaves.withColumn("archive", number).withColumn("position", (F.row_number().over(order) - 1).cast("long"))
+    order = Window.partitionBy("shard", "archive").orderBy(F.col("key").asc_nulls_first(), "digest", F.col("replica_digest").asc_nulls_first())
+    dealt = leaves.withColumn("archive", number).withColumn("shard", F.col("archive") % SHARDS).repartition("shard")
+    placed = dealt.withColumn("position", (F.row_number().over(order) - 1).cast("long"))
     before = order.rowsBetween(Window.unboundedPreceding, -1)
-    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).select("key", "archive", "position", "offset", "length", "digest", "replica_digest")
+    return placed.withColumn("offset", F.coalesce(F.sum("length").over(before), F.lit(0).cast("long"))).select("key", "archive", "position", "offset", "length", "digest", "replica_digest", "shard")
 
 
 def trees(leaves: DataFrame, fanout: int = FANOUT) -> list[DataFrame]:
-    """Levels (archive, place, start, end, digest, replica_digest) from the leaves to the roots."""
+    """Levels (archive, place, start, end, digest, replica_digest) from the leaves to the roots;
+    the leaves keep their shard."""
     missing = F.lit("-")
-    level = leaves.select("archive", F.col("position").alias("place"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.coalesce("digest", missing).alias("digest"), F.coalesce("replica_digest", missing).alias("replica_digest"))
+    level = leaves.select("archive", F.col("position").alias("place"), F.col("offset").alias("start"), (F.col("offset") + F.col("length")).alias("end"), F.coalesce("digest", missing).alias("digest"), F.coalesce("replica_digest", missing).alias("replica_digest"), "shard")
     top = leaves.agg(F.max("position")).first()[0] or 0
     levels = [level]
     while top > 0:
@@ -73,7 +79,12 @@ def differing(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
     """(archive, place) of the leaves that differ, found from the roots downwards."""
     unlike = F.col("digest") != F.col("replica_digest")
     found = levels[-1].filter(unlike).select("archive", "place")
-    for level in reversed(levels[:-1]):
+    if len(levels) == 1:
+        return found
+    shards = [r[0] for r in found.select(F.col("archive") % SHARDS).distinct().collect()]  # SHARDS numbers at most
+    if not shards:
+        return found
+    for level in [*reversed(levels[1:-1]), levels[0].filter(F.col("shard").isin(shards))]:
         below = found.select(F.col("archive").alias("__a"), F.col("place").alias("__p"))
         within = (F.col("archive") == F.col("__a")) & (F.floor(F.col("place") / fanout) == F.col("__p"))
         found = level.join(below, within, "left_semi").filter(unlike).select("archive", "place")
@@ -82,7 +93,7 @@ def differing(levels: list[DataFrame], fanout: int = FANOUT) -> DataFrame:
 
 def audit(records: DataFrame, *, key: str, record: str, replica: str, archive_records: int = ARCHIVE_RECORDS, fanout: int = FANOUT) -> DataFrame:
     """The manifest with each record's status (ok, corrupt, missing, extra) and its archive's roots."""
-    leaves = written(manifest(records, key, record, replica, archive_records), "manifest")
+    leaves = written(manifest(records, key, record, replica, archive_records), "manifest", by="shard")
     levels = trees(leaves, fanout)
     bad = differing(levels, fanout).select(F.col("archive").alias("__a"), F.col("place").alias("__p"), F.lit(True).alias("bad"))
     roots = levels[-1].select(F.col("archive").alias("__r"), F.col("digest").alias("root"), F.col("replica_digest").alias("replica_root"))

@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from corpuslens.llm import ann, language_id, source_mix, topk, url_filter, warc_fixity
-from corpuslens.llm.common import tokenizer
+from corpuslens.llm.common import tokenizer, written
 from corpuslens.llm.sentencepiece_codec import Model, decode, encode
 from corpuslens.llm.token_count import PairTable, count_tokens
 
@@ -194,6 +194,22 @@ def test_records_of_one_side_only(spark):
     assert got == {1: ("ok", 1), 2: ("extra", 0), 3: ("missing", 1), 4: ("ok", 0), 5: ("corrupt", 3_000_000)}
 
 
+def test_descent_reads_only_folders_of_differing_archives(spark):
+    def levels(bad):
+        rows = [(i, f"record {i}", "changed" if i in bad else f"record {i}") for i in range(300)]
+        leaves = warc_fixity.manifest(spark.createDataFrame(rows, "key long, record string, replica string"), "key", "record", "replica", 30)
+        return leaves, warc_fixity.trees(written(leaves, "leaves", by="shard"), 4)
+
+    leaves, made = levels({7})
+    [shard] = [r["shard"] for r in leaves.filter("key = 7").collect()]
+    found = warc_fixity.differing(made, 4)
+    text = found._jdf.queryExecution().executedPlan().toString()
+    assert re.search(rf"PartitionFilters: \[[^]]*shard#\d+L? (IN \({shard}\)|= {shard})\b", text)
+    assert [tuple(r) for r in found.collect()] == [tuple(r) for r in leaves.filter("key = 7").select("archive", "position").collect()]
+    equal = warc_fixity.differing(levels(set())[1], 4)
+    assert "shard" not in equal._jdf.queryExecution().executedPlan().toString() and equal.collect() == []
+
+
 def test_roots_are_merkle_roots(spark):
     records = spark.createDataFrame([(i, f"r{i}", f"r{i}") for i in range(9)], "page_id long, record string, replica string")
     leaves = [hashlib.sha256(f"r{i}".encode()).hexdigest() for i in range(9)]
