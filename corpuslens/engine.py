@@ -135,7 +135,11 @@ class Engine:
         return {"path": path, "offsets": {str(v): found[v]["line_no"] if v in found else -1 for v in offsets}, "lines": {}, "samples": {str(v): found[v]["lines"] if v in found else [] for v in offsets}, "before_context": before, "after_context": after}
 
     def analyse(self, paths: list[str], *, cache: ProfileCache | None = None, custom: dict[str, Column] | None = None, file_hook: Callable[[dict], dict] | None = None, post_hook: Callable[[dict], dict] | None = None) -> dict:
-        """One profile a file; files that are no text get their metadata only."""
+        """One profile a file; files that are no text get their metadata only.
+
+        With a ``cache``, unchanged files are not read again; ``custom`` columns are always
+        computed afresh and not kept.
+        """
         named = [p for p in self.sandbox.check(paths)]
         found, skipped = [], []
         for p in named:
@@ -149,10 +153,16 @@ class Engine:
                 raise FileNotFoundError(p)
         listed = files.file_table(self.spark, dict.fromkeys(found))
         readable = [p for p in dict.fromkeys(found) if files.is_text_file(p) or codecs.detect(p)]
-        lines = self.lines(readable)
-        profiles = profile.with_files(profile.profile(lines, **(custom or {})).join(profile.ending_of_lines(lines), "file"), listed)
-        if cache:
+        kept = cache.load(listed) if cache and not custom else None
+        known = {r["path"] for r in kept.select("path").collect()} if kept is not None else set()  # of the listed ones
+        lines = self.lines([p for p in readable if p not in known])
+        fresh = listed.join(kept.select("path"), "path", "left_anti") if known else listed
+        profiles = profile.with_files(profile.profile(lines, **(custom or {})).join(profile.ending_of_lines(lines), "file"), fresh)
+        if cache and not custom and len(known) < len(dict.fromkeys(found)):
             cache.save(profiles)
+            profiles = cache.load(listed).drop("path_hash")
+        elif known:
+            profiles = kept.drop("path_hash")
         rows = []
         for r in profiles.orderBy("path").toLocalIterator():
             row = r.asDict()

@@ -31,6 +31,16 @@ def blank(line: Column) -> Column:
     return F.rlike(line, F.lit(r"(?U)^\s*$"))
 
 
+def cells(low: Column, high: Column, size: int) -> Column:
+    """The numbers of the cells of ``size`` that the range low to high, both included, meets.
+
+    A value lies in the cell floor(value / size), so a range join on it is an equality join
+    on the cell, and one long file is many tasks. An empty range gives no cell.
+    """
+    first, last = F.floor(low / size), F.floor(high / size)
+    return F.when(last >= first, F.sequence(first, last))
+
+
 def strip_line_end(line: Column) -> Column:
     return F.regexp_replace(line, r"[\r\n]+$", "")
 

@@ -1,7 +1,8 @@
 """Frames: parts of a file that decode on their own, and lookups by place.
 
 A frame table is (file, frame, compressed_offset, compressed_size, decoded_offset,
-decoded_size, first_line, last_line). Lookups keep the file as an equality key.
+decoded_size, first_line, last_line). Lookups of places have the file and a cell of lines or
+bytes as equality keys.
 """
 
 from __future__ import annotations
@@ -10,6 +11,11 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from corpuslens.functions.scalars import cells
+
+#: Lines and bytes of a cell: about what one frame holds.
+LINE_CELL, BYTE_CELL = 1 << 16, 1 << 22
+
 
 def place_frames(sizes: DataFrame) -> DataFrame:
     """Offsets of frames from (file, frame, compressed_size, decoded_size), by running sums."""
@@ -36,14 +42,18 @@ def of_lines(frames: DataFrame, requests: DataFrame) -> DataFrame:
     """(file, value, frame) for requested lines; lines that no frame holds are left out."""
     r = requests.select(F.col("file").alias("f"), F.col("value").cast("long").alias("value")).distinct()
     inside = F.col("value").between(F.col("first_line"), F.col("last_line"))
-    return r.join(frames, (F.col("f") == F.col("file")) & inside).select("file", "value", "frame")
+    celled = frames.withColumn("cell", F.explode(cells(F.col("first_line"), F.col("last_line"), LINE_CELL)))
+    same = (F.col("f") == F.col("file")) & (F.floor(F.col("value") / LINE_CELL) == F.col("cell"))
+    return r.join(celled, same & inside).select("file", "value", "frame")
 
 
 def of_offsets(frames: DataFrame, requests: DataFrame) -> DataFrame:
     """(file, value, frame) for requested decoded offsets; null outside the file."""
     r = requests.select(F.col("file").alias("f"), F.col("value").cast("long").alias("value")).distinct()
     inside = (F.col("value") >= F.col("decoded_offset")) & (F.col("value") < F.col("decoded_offset") + F.col("decoded_size"))
-    return r.join(frames, (F.col("f") == F.col("file")) & inside, "left").select(F.col("f").alias("file"), "value", "frame")
+    celled = frames.withColumn("cell", F.explode(cells(F.col("decoded_offset"), F.col("decoded_offset") + F.col("decoded_size") - 1, BYTE_CELL)))
+    same = (F.col("f") == F.col("file")) & (F.floor(F.col("value") / BYTE_CELL) == F.col("cell"))
+    return r.join(celled, same & inside, "left").select(F.col("f").alias("file"), "value", "frame")
 
 
 def overlapping(frames: DataFrame, ranges: DataFrame) -> DataFrame:

@@ -1,7 +1,8 @@
 """Samples: lines at requested line numbers or byte offsets, with context.
 
 Requests are a table (file, value). A request that names no line gives an empty list, not
-an error. All joins carry the file as an equality key.
+an error. All joins carry the file as an equality key, and with it the line or the cell of
+bytes, so that one large file is many tasks.
 """
 
 from __future__ import annotations
@@ -9,7 +10,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.functions.scalars import strip_line_end
+from corpuslens.functions.scalars import cells, strip_line_end
+
+#: Bytes of a cell of offsets.
+CELL = 1 << 16
 
 
 def line_to_offset(lines: DataFrame, requests: DataFrame) -> DataFrame:
@@ -23,7 +27,9 @@ def offset_to_line(lines: DataFrame, requests: DataFrame) -> DataFrame:
     """(file, value, line_no): the line that holds each requested byte offset, -1 without one."""
     r = requests.select(F.col("file").alias("f"), F.col("value").cast("long").alias("value")).distinct()
     inside = (F.col("value") >= F.col("byte_offset")) & (F.col("value") <= F.col("byte_offset") + F.col("n_bytes"))
-    found = r.join(lines.select("file", "line_no", "byte_offset", "n_bytes"), (F.col("f") == F.col("file")) & inside, "left")
+    places = lines.select("file", "line_no", "byte_offset", "n_bytes", F.explode(cells(F.col("byte_offset"), F.col("byte_offset") + F.col("n_bytes"), CELL)).alias("cell"))
+    same = (F.col("f") == F.col("file")) & (F.floor(F.col("value") / CELL) == F.col("cell"))
+    found = r.join(places, same & inside, "left")
     return found.select(F.col("f").alias("file"), "value", F.coalesce("line_no", F.lit(-1).cast("long")).alias("line_no"))
 
 

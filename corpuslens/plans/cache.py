@@ -77,7 +77,7 @@ class ProfileCache:
         self.spark, self.path = spark, f"{folder.rstrip('/')}/profiles"
 
     def save(self, profiles: DataFrame) -> None:
-        """``profiles`` have path, size, modified_at and any further columns."""
+        """Append ``profiles``: path, size, modified_at and any further columns."""
         profiles.withColumn("path_hash", F.substring(F.sha2("path", 256), 1, 16)).write.mode("append").parquet(self.path)
 
     def load(self, files: DataFrame) -> DataFrame | None:

@@ -318,7 +318,14 @@ def checkpoints_by_bytes(spark, sf_dir):
     return index.buckets_of_bytes(doc_lines(spark, sf_dir), 1000)
 
 
-@register()
+@register(f"""with recursive {cut("documents", "doc_id", "text")},
+next as (
+  select a.file, a.line_no, b.line_no as to_line, b.byte_offset as to_offset
+  from lines a asof join lines b on a.file = b.file and a.byte_offset + 1000 <= b.byte_offset),
+marks as (
+  select file, line_no, byte_offset from lines where line_no = 1
+  union all select n.file, n.to_line, n.to_offset from marks m join next n on m.file = n.file and m.line_no = n.line_no)
+select file, line_no, byte_offset from marks""")
 def checkpoints_exact(spark, sf_dir):
     return index.every_n_bytes(doc_lines(spark, sf_dir), 1000)
 

@@ -16,11 +16,11 @@ from corpuslens import cli
 from corpuslens.engine import Engine
 from corpuslens.functions.patterns import Patterns, translate
 from corpuslens.functions.sql import register
-from corpuslens.operators import index
+from corpuslens.operators import index, samples
 from corpuslens.operators.samples import between
 from corpuslens.operators.trace import trace
 from corpuslens.options import EngineOptions, SearchOptions
-from corpuslens.plans.cache import TraceCache
+from corpuslens.plans.cache import ProfileCache, TraceCache
 from corpuslens.plans.side_tables import LineStore, SideTables
 from corpuslens.sources import codecs, files, seekable
 from corpuslens.sources.lines import lines_of, lines_of_files, split_counts
@@ -149,6 +149,35 @@ def test_submatches_count_bytes(spark):
     assert [tuple(s) for s in row["submatches"]] == [("error", 3, 8)]
 
 
+def test_profiles_of_unchanged_files_come_from_the_cache(spark, engine, tmp_path):
+    logs = tmp_path / "logs"
+    logs.mkdir()
+    a, b = logs / "a.log", logs / "b.log"
+    a.write_text("one\ntwo\n")
+    b.write_text("x\n")
+    cache = ProfileCache(spark, str(tmp_path / "cache"))
+
+    def counts(**more):
+        return {os.path.basename(r["path"]): r["line_count"] for r in engine.analyse([str(logs)], cache=cache, **more)["results"]}
+
+    assert counts() == {"a.log": 2, "b.log": 1}
+    stat = a.stat()
+    a.write_text("sevens.\n")  # the same size, and below the same time: the cache still speaks for it
+    os.utime(a, ns=(stat.st_atime_ns, stat.st_mtime_ns))
+    b.write_text("x\ny\nz\n")
+    assert counts() == {"a.log": 2, "b.log": 3} and counts() == {"a.log": 2, "b.log": 3}
+    assert counts(custom={"n": F.count("*")}) == {"a.log": 1, "b.log": 3}
+
+
+def test_places_across_cells(spark):
+    rows = [("f", 1, 0, 200_000), ("f", 2, 200_001, 3), ("f", 3, 200_005, samples.CELL), ("g", 1, 0, 0)]
+    lines = spark.createDataFrame(rows, "file string, line_no long, byte_offset long, n_bytes long")
+    end = 200_005 + samples.CELL
+    asks = [("f", v) for v in (0, samples.CELL - 1, samples.CELL, 200_000, 200_001, 200_004, 200_005, end, end + 1, -1)] + [("g", 0), ("g", 1), ("h", 0)]
+    got = {(r["file"], r["value"]): r["line_no"] for r in samples.offset_to_line(lines, spark.createDataFrame(asks, "file string, value long")).collect()}
+    assert got == dict(zip(asks, [1, 1, 1, 1, 2, 2, 3, 3, -1, -1, 1, -1, -1], strict=True))
+
+
 def test_trace_samples_and_profile(engine, tmp_path):
     path = tmp_path / "t.log"
     path.write_text("".join(f"line {i} {'error' if i in (2, 5, 7) else 'ok'}\n" for i in range(1, 9)))

@@ -1,6 +1,7 @@
 """What the plans must and must not hold."""
 
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -40,3 +41,8 @@ def test_limits_are_top_k(spark):
 def test_range_joins_have_an_equality_key(spark, name):
     text = plan(QUERIES[name](spark, SF))
     assert "NestedLoop" not in text and "Cartesian" not in text
+
+
+@pytest.mark.parametrize("name", ["samples_by_offset", "offset_to_line", "frame_lookup", "frame_of_offset"])
+def test_lookups_of_places_are_dealt_by_cell(spark, name):
+    assert re.search(r"Join \[[^]]*FLOOR|HashJoin[^\n]*cell#|hashpartitioning\([^)]*cell#", plan(QUERIES[name](spark, SF)))
