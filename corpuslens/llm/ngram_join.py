@@ -10,10 +10,14 @@ with equal sets form a class; classes are joined.
 2. *Candidates.* In that order, two sets with Jaccard similarity t or more share at least
    l of the first ``n - ceil(t * n) + l`` n-grams of the one whose prefix ends first. With
    l a tenth of a set, a set whose prefix shares fewer n-grams than the smallest partner's
-   l, with anybody, has no link and goes. Classes that still share an n-gram are chained,
-   n-gram by n-gram, and the connected components of these chains are the candidate
-   clusters: every link lies inside a cluster. Chains of n-grams that the counters call
-   frequent are salted; their heads meet in a node that stands for the n-gram.
+   l, with anybody of a size that a link allows, has no link and goes. Classes that still
+   share an n-gram are chained by size, n-gram by n-gram; a chain breaks where the smaller
+   of two neighbours has less than t of the larger one's size. The connected components of
+   these chains are the candidate clusters: every link lies inside a cluster. Chains of
+   n-grams that the counters call frequent are salted; their parts meet in nodes that
+   stand for the n-gram and a band of sizes. Clusters too large for a task take the step
+   again, with counters of their own, as long as that makes them smaller: in a large
+   corpus a counter holds many n-grams, and common passages chain what shares no more.
 3. *Trees.* The sets of a cluster meet in one task. There they are ordered by the
    cluster's own frequencies and stored in a prefix tree. Groups of sets walk the tree
    level by level, sharing the overlaps of common prefixes; a subtree is left where the
@@ -36,6 +40,7 @@ gives an empty result; only the named columns are read.
 
 from __future__ import annotations
 
+import math
 import zlib
 from collections.abc import Iterator
 
@@ -48,8 +53,8 @@ from pyspark.sql.window import Window
 from corpuslens.llm.common import chunks, spread_join, written
 
 CHUNK_BYTES = 1 << 20
-#: Frequency from which an n-gram's chain is salted; sets and n-grams that meet in a task.
-HOT = 20_000
+#: Frequencies from which an n-gram's chain is salted, in all and inside large clusters; sets and n-grams that meet in a task.
+HOT, HOT_INSIDE = 20_000, 500
 UNIT_SETS = 1_000
 UNIT_GRAMS = 2_000_000
 PIVOTS = 32
@@ -57,6 +62,8 @@ PIVOTS = 32
 SENT_ROWS = 500_000
 #: Edges (of 16 bytes) that a task unites at a time.
 EDGES = 1_000_000
+#: Bits of the counters' number. More of them cost as many bytes a task on disk.
+LEAST_BITS, MOST_BITS = 18, 22
 
 U = np.uint64
 _SPACE = np.zeros(256, bool)
@@ -166,6 +173,20 @@ FIELDS = ["doc_id", "n", "node", "other", "part", "counts"]
 PARTS = 16
 
 
+def _packed(counts: np.ndarray) -> bytes:
+    """Counters, the low bytes of all before the next: the high ones are nearly all 0."""
+    return zlib.compress(np.ascontiguousarray(counts.view(np.uint8).reshape(-1, 4).T).tobytes(), 1)
+
+
+def _unpacked(piece: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zlib.decompress(piece), np.uint8).reshape(4, -1).T).view(np.uint32).ravel()
+
+
+def _pieces(counts: np.ndarray) -> list[pa.Array]:
+    """part and counts of a task's counters."""
+    return [pa.array(range(PARTS), pa.int32()), pa.array([_packed(c) for c in np.split(counts, PARTS)], pa.binary())]
+
+
 def _profiles(n: int, bits: int, keep: tuple[str, ...]):
     """Documents' set sizes and names; after them this task's counters, in PARTS parts."""
 
@@ -179,8 +200,7 @@ def _profiles(n: int, bits: int, keep: tuple[str, ...]):
                 sizes = pa.array([len(s) for s in sets], pa.int64())
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), sizes, *set_names(sets), pa.nulls(j - i, pa.int32()), pa.nulls(j - i, pa.binary()), *(batch.column(c).slice(i, j - i) for c in keep)], names=[*FIELDS, *keep])
         if counts.any():
-            pieces = [zlib.compress(c.tobytes(), 1) for c in np.split(counts, PARTS)]
-            yield pa.record_batch([*(pa.nulls(PARTS, pa.int64()) for _ in FIELDS[:4]), pa.array(range(PARTS), pa.int32()), pa.array(pieces, pa.binary()), *(pa.nulls(PARTS, pa.int64()) for _ in keep)], names=[*FIELDS, *keep])
+            yield pa.record_batch([*(pa.nulls(PARTS, pa.int64()) for _ in FIELDS[:4]), *_pieces(counts), *(pa.nulls(PARTS, pa.int64()) for _ in keep)], names=[*FIELDS, *keep])
 
     return run
 
@@ -194,10 +214,10 @@ def _summed(bits: int, last: bool):
 
         def summed() -> pa.RecordBatch:
             if last:  # steps of an eighth octave
-                out = [np.minimum(255, np.floor(8 * np.log2(1.0 + t))).astype(np.uint8) for t in total.values()]
+                out = [zlib.compress(np.minimum(255, np.floor(8 * np.log2(1.0 + t))).astype(np.uint8).tobytes(), 1) for t in total.values()]
             else:
-                out = [np.minimum(t, 2**32 - 1).astype(np.uint32) for t in total.values()]
-            return pa.record_batch([pa.array([*total], pa.int32()), pa.array([zlib.compress(x.tobytes(), 1) for x in out], pa.binary())], names=["part", "counts"])
+                out = [_packed(np.minimum(t, 2**32 - 1).astype(np.uint32)) for t in total.values()]
+            return pa.record_batch([pa.array([*total], pa.int32()), pa.array(out, pa.binary())], names=["part", "counts"])
 
         for batch in batches:
             for part, piece in zip(batch.column("part").to_pylist(), batch.column("counts").to_pylist(), strict=True):
@@ -205,7 +225,7 @@ def _summed(bits: int, last: bool):
                     yield summed()
                     total = {}
                 total.setdefault(part, np.zeros(size, np.uint64))
-                total[part] += np.frombuffer(zlib.decompress(piece), np.uint32)
+                total[part] += _unpacked(piece)
         if total:
             yield summed()
 
@@ -236,36 +256,71 @@ def prefix_size(n: int, percent: int, extra: int) -> int:
     return n - smallest_partner(n, percent) + least_shared(n, extra)
 
 
+ENTRY = "gram long, salt int, node long, n int"
+
+
+def _entries(sets: list[np.ndarray], keys: list[np.ndarray], nodes: list[int], rank: np.ndarray, bits: int, percent: int, extra: int, often_from: int) -> pa.RecordBatch:
+    """(gram, salt, node, n) for the prefix of every set. Each n-gram is counted and named by its key."""
+    hot = int(8 * np.log2(1.0 + often_from))
+    grams, salts, own, size = [], [], [], []
+    for s, key, node in zip(sets, keys, nodes, strict=True):
+        p = min(len(s), prefix_size(len(s), percent, extra))
+        often = rank[(key >> U(64 - bits)).astype(np.int64)]
+        first = np.argsort(often, kind="stable")[:p]
+        grams.append(key[first].view(np.int64))
+        ways = np.where(often[first] >= hot, np.exp2(np.maximum(0, often[first].astype(np.int64) - hot) / 8).astype(np.int64) * 2, 0)
+        salts.append(np.where(ways > 0, 1 + node % np.maximum(ways, 1), 0))
+        own.append(np.full(p, node, np.int64))
+        size.append(np.full(p, len(s), np.int32))
+    return pa.record_batch([np.concatenate(grams), np.concatenate(salts).astype(np.int32), np.concatenate(own), np.concatenate(size)], names=["gram", "salt", "node", "n"])
+
+
 def _prefixes(n: int, bits: int, percent: int, extra: int, order):
-    """(gram, salt, node, need) for the prefix of every set; a set once a task."""
+    """(gram, salt, node, n) for the prefix of every text's set; a set once a task."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank, seen = Shingler(n), order.value, set()
-        hot = int(8 * np.log2(1.0 + HOT))
         for batch in batches:
             for _, _, texts in _texts(batch, "text"):
-                grams, salts, nodes, needs = [], [], [], []
-                sets = shingler.sets(texts)
-                for s, node, other in zip(sets, *(x.tolist() for x in set_names(sets)), strict=True):
+                sets, nodes, every = [], [], shingler.sets(texts)
+                for s, node, other in zip(every, *(x.tolist() for x in set_names(every)), strict=True):
                     if not len(s) or (node, other) in seen:
                         continue
                     if len(seen) > 1_000_000:
                         seen.clear()
                     seen.add((node, other))
-                    p = min(len(s), prefix_size(len(s), percent, extra))
-                    often = rank[(s >> U(64 - bits)).astype(np.int64)]
-                    first = np.argsort(often, kind="stable")[:p]
-                    grams.append(s[first].view(np.int64))
-                    ways = np.where(often[first] >= hot, np.exp2(np.maximum(0, often[first].astype(np.int64) - hot) / 8).astype(np.int64) * 2, 0)
-                    salts.append(np.where(ways > 0, 1 + node % np.maximum(ways, 1), 0))
-                    nodes.append(np.full(p, node, np.int64))
-                    needs.append(np.full(p, least_shared(smallest_partner(len(s), percent), extra), np.int32))
-                if grams:
-                    yield pa.record_batch([np.concatenate(grams), np.concatenate(salts).astype(np.int32), np.concatenate(nodes), np.concatenate(needs)], names=["gram", "salt", "node", "need"])
+                    sets.append(s)
+                    nodes.append(node)
+                if sets:
+                    yield _entries(sets, sets, nodes, rank, bits, percent, extra, HOT)
 
     return run
 
 
+def _clustered(entries: DataFrame, percent: int, extra: int, edges: int) -> DataFrame:
+    """(node, comp): the candidate clusters of prefixes (gram, salt, node, n).
+
+    The nodes that share an n-gram are chained by size. A chain breaks where no link can
+    cross; the parts of a salted chain meet in nodes of their own, one for each band of
+    sizes, which hold the sets of the band and of the one below: sizes that a link allows
+    are at most a band apart.
+    """
+    chain = Window.partitionBy("gram", "salt").orderBy("n", "node")
+    prev = F.when(100 * F.lag("n").over(chain).cast("long") >= percent * F.col("n").cast("long"), F.lag("node").over(chain))
+    after = F.when(100 * F.col("n").cast("long") >= percent * F.lead("n").over(chain).cast("long"), F.lead("node").over(chain))
+    near = entries.withColumn("prev", prev).withColumn("next", after)
+    shared = near.filter("salt > 0 OR prev <> node OR next <> node").select(*entries.columns)
+    own = Window.partitionBy("node")  # a set's own prefix
+    need = F.min(F.expr(f"greatest(1, {extra} * (({percent}L * n + 99) div 100) div 100)")).over(own)
+    kept = shared.withColumn("held", F.count("*").over(own)).withColumn("need", need).filter("held >= need").drop("held", "need")
+    band = F.floor(F.log(F.col("n")) / math.log(101 / percent))  # wider than percent, for rounding
+    hub = lambda k: F.xxhash64("gram", F.col("band") + k)
+    first = (F.col("salt") > 0) & ~F.lag("band").over(chain).eqNullSafe(F.col("band"))
+    ends = F.when(first, F.array(prev, hub(0), hub(1))).otherwise(F.array(prev))
+    chained = kept.withColumn("band", band).select(F.col("node").alias("a"), ends.alias("ends")).filter("size(ends) > 1 OR ends[0] <> a")
+    return components(chained.select("a", F.explode("ends").alias("b")).filter("a <> b"), edges)
+
+
 def _forest(names_of: tuple[str, str], with_roots: bool):
     """The edges (a, b) of a task as stars with the same components, ``EDGES`` at a time.
 
@@ -529,6 +584,63 @@ def _units(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     return texts.mapInArrow(_grams(n), "class long, rep long, cluster long, m long, blocks long, grams binary")
 
 
+def _sized(members: DataFrame, unit_sets: int, unit_grams: int) -> tuple[DataFrame, int]:
+    """Members (cluster, n) with the sets and blocks of their clusters, and how many clusters are large."""
+    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
+    blocks = F.ceil(F.greatest(F.col("m") / unit_sets, F.col("all") / unit_grams)).cast("long")
+    large = written(sizes.select("cluster", "m", blocks.alias("blocks")).filter("blocks > 1"), "large")
+    some = large.count()  # at most a class in 1,000, or an n-gram in UNIT_GRAMS
+    wide = F.broadcast(large) if some <= SENT_ROWS else large
+    return members.join(wide, "cluster", "left").fillna(1, ["blocks"]), some
+
+
+def _keys(batch: pa.RecordBatch) -> Iterator[tuple[list[np.ndarray], list[np.ndarray], list[int]]]:
+    """Sets of about a megabyte, their n-grams' keys inside their clusters, and their classes."""
+    for i, j in chunks([len(g) for g in batch.column("grams").to_pylist()], CHUNK_BYTES):
+        part = batch.slice(i, j - i)
+        sets = [np.frombuffer(g, U) for g in part.column("grams").to_pylist()]
+        names = mixed(part.column("cluster").to_numpy().view(U))
+        yield sets, [mixed(s ^ c) for s, c in zip(sets, names, strict=True)], part.column("class").to_pylist()
+
+
+def _counted(bits: int):
+    """This task's counters of the n-grams of clusters' sets, in PARTS parts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts = np.zeros(1 << bits, np.uint32)
+        for batch in batches:
+            for _, keys, _ in _keys(batch):
+                np.add.at(counts, (np.concatenate(keys) >> U(64 - bits)).astype(np.int64), np.uint32(1))
+        if counts.any():
+            yield pa.record_batch(_pieces(counts), names=["part", "counts"])
+
+    return run
+
+
+def _own_prefixes(bits: int, percent: int, extra: int, order):
+    """(gram, salt, node, n) for the prefix of every set, by the order of its cluster."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for sets, keys, classes in _keys(batch):
+                yield _entries(sets, keys, classes, order.value, bits, percent, extra, HOT_INSIDE)
+
+    return run
+
+
+def _split(large: DataFrame, percent: int, extra: int, edges: int) -> DataFrame:
+    """(class, rep, cluster, n, grams): the candidate clusters inside large ones, by an order
+    from counters of their sets alone; sets that share too little with any other go."""
+    grams = large.agg(F.sum(F.octet_length("grams").cast("long"))).first()[0] // 8
+    bits = int(np.clip(2 + np.ceil(np.log2(max(1, grams))), LEAST_BITS, MOST_BITS))
+    sets = large.select("class", "cluster", "grams")
+    order = large.sparkSession.sparkContext.broadcast(frequency_order(sets.mapInArrow(_counted(bits), "part int, counts binary"), bits))
+    found = _clustered(sets.mapInArrow(_own_prefixes(bits, percent, extra, order), ENTRY), percent, extra, edges)
+    found = found.select(F.col("node").alias("class"), F.col("comp").alias("cluster"))
+    found = F.broadcast(found) if found.count() <= SENT_ROWS else found
+    return large.select("class", "rep", "grams").join(found, "class").withColumn("n", (F.octet_length("grams") / 8).cast("long"))
+
+
 def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", n: int = 5, percent: int = 80, extra: int = 10, bits: int | None = None, unit_sets: int = UNIT_SETS, unit_grams: int = UNIT_GRAMS, pivots: int = PIVOTS, edges: int = EDGES, keep: tuple[str, ...] = ()) -> DataFrame:
     """(doc_id, n_shingles, component_id, group_id) of every row of ``docs``.
 
@@ -540,36 +652,35 @@ def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     spark = docs.sparkSession
     plain = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"), *keep)
     if bits is None:
-        bits = int(np.clip(16 + np.ceil(np.log2(max(1, plain.rdd.getNumPartitions()))), 18, 24))
+        bits = int(np.clip(16 + np.ceil(np.log2(max(1, plain.rdd.getNumPartitions()))), LEAST_BITS, MOST_BITS))
     as_bytes = plain.select("doc_id", F.col("text").cast("binary").alias("text"), *keep)
     profiles = written(as_bytes.mapInArrow(_profiles(n, bits, keep), ", ".join([PROFILE, *(f"`{c}` long" for c in keep)])), "profiles")
     as_bytes = as_bytes.select("doc_id", "text")
-    order = spark.sparkContext.broadcast(frequency_order(profiles, bits))  # 2**bits bytes, 16 MB at most
+    order = spark.sparkContext.broadcast(frequency_order(profiles, bits))  # 2**bits bytes, 4 MB at most
     rows = profiles.filter("part IS NULL").select("doc_id", "n", "node", "other", *keep)
     classes = rows.filter("n > 0").groupBy("node", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("k"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    # Chains of the nodes that share an n-gram; the heads of a salted chain meet in a node of their own.
-    entries = as_bytes.select("text").mapInArrow(_prefixes(n, bits, percent, extra, order), "gram long, salt int, node long, need int")
-    chain = Window.partitionBy("gram", "salt").orderBy("node")
-    near = entries.withColumn("prev", F.lag("node").over(chain)).withColumn("next", F.lead("node").over(chain))
-    shared = near.filter("salt > 0 OR prev <> node OR next <> node").select("gram", "salt", "node", "need")
-    own = Window.partitionBy("node")  # a set's own prefix
-    kept = shared.withColumn("held", F.count("*").over(own)).withColumn("need", F.min("need").over(own)).filter("held >= need")
-    chained = kept.select("node", F.coalesce(F.lag("node").over(chain), F.when(F.col("salt") > 0, F.xxhash64("gram", F.lit(5)))).alias("prev"))
-    clusters = components(chained.filter("prev <> node").select(F.col("node").alias("a"), F.col("prev").alias("b")), edges)
+    entries = as_bytes.select("text").mapInArrow(_prefixes(n, bits, percent, extra, order), ENTRY)
+    clusters = _clustered(entries, percent, extra, edges)
 
     members = written(clusters.withColumnRenamed("comp", "cluster").join(classes.filter("rep IS NOT NULL"), "node"), "members")
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("m"), F.sum("n").alias("all"))
-    blocks = F.ceil(F.greatest(F.col("m") / unit_sets, F.col("all") / unit_grams)).cast("long")
-    large = written(sizes.select("cluster", "m", blocks.alias("blocks")).filter("blocks > 1"), "large")
-    some = large.count()  # at most a class in 1,000, or an n-gram in UNIT_GRAMS
-    wide = F.broadcast(large) if some <= SENT_ROWS else large
-    members = members.select("class", "rep", "node", "other", "cluster").join(wide, "cluster", "left").fillna(1, ["blocks"])
-    small = _units(as_bytes, members.filter("blocks = 1"), n).select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "class", "rep", F.lit(True).alias("ask"), "grams")
+    members, left = _sized(members, unit_sets, unit_grams)
+    small = _units(as_bytes, members.filter("blocks = 1"), n)
+    if left:
+        large = written(_units(as_bytes, members.filter("blocks > 1"), n), "sets")
+        left = large.count()
+    while left:  # sets in large clusters
+        split, _ = _sized(_split(large, percent, extra, edges), unit_sets, unit_grams)
+        split = written(split.select(*KEPT, "grams"), "split")
+        small, large = small.unionByName(split.filter("blocks = 1")), split.filter("blocks > 1")
+        before, left = left, large.count()
+        if 10 * left > 9 * before:
+            break
+    small = small.select(F.col("cluster").alias("unit"), F.lit(0).cast("long").alias("part"), "class", "rep", F.lit(True).alias("ask"), "grams")
     joined = _links(small, percent).select(F.col("a").alias("class"), F.col("b").alias("group_id"), F.col("rep").alias("component_id"))  # a cluster in one unit: its components
-    if some:
-        links = _large_links(written(_units(as_bytes, members.filter("blocks > 1"), n), "sets"), percent, unit_sets, pivots, edges)
+    if left:
+        links = _large_links(large, percent, unit_sets, pivots, edges)
         named = components(links, edges).select(F.col("node").alias("class"), F.col("comp").alias("group_id")).join(classes.select("class", "rep"), "class")
         least = written(named.groupBy("group_id").agg(F.min("rep").alias("component_id"), F.count("*").alias("k")), "least")
         joined = joined.unionByName(spread_join(named.drop("rep"), least, ["group_id"], ["component_id"]))

@@ -115,3 +115,31 @@ def test_the_tree_finds_what_pairs_find():
                 if 100 * both >= 70 * (len(a) + len(sets[j]) - both):
                     want[want == want[j]] = want[i]
         assert ((got[:, None] == got) == (want[:, None] == want)).all()
+
+
+def test_large_clusters_fall_apart_by_an_order_of_their_own(spark, monkeypatch):
+    """Few counters hold many n-grams each, as in a large corpus, so passages chain texts that share no more."""
+    rnd = random.Random(4)
+    passages = [" ".join(f"p{k}x{i}" for i in range(12)) for k in range(6)]
+    rows = []
+    for i in range(150):
+        own = [f"t{i}x{j}" for j in range(rnd.randrange(20, 60))]
+        rows.append((i, " ".join([*own, *rnd.sample(passages, 2)])))
+    rows += [(500 + i, f"{t} more") for i, t in rows[:40]]
+    met, joined = [], nj._large_links
+    monkeypatch.setattr(nj, "_large_links", lambda large, *more: met.append(large.count()) or joined(large, *more))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in nj.near_components(docs, bits=4, unit_sets=20).collect()}
+    assert got == brute(rows) and not met
+
+
+def test_sizes_that_no_link_allows_are_not_chained(spark):
+    """Sets of 10, 20, 40 and more n-grams share one, salted or not."""
+    rows = [(g, salt, node, n) for g, salts in ((1, [0]), (2, [1, 2, 3])) for salt in salts for node, n in ((10 * g + salt, 10), (20 * g + salt, 20), (40 * g + salt, 40), (41 * g + salt, 50))]
+    entries = spark.createDataFrame([(g, s, 1000 * g + node, n) for g, s, node, n in rows], nj.ENTRY).repartition(3)
+    comp = dict(map(tuple, nj._clustered(entries, 80, 1, 100).collect()))
+    groups = {}
+    for node, c in comp.items():
+        groups.setdefault(c, set()).add(node)
+    assert {frozenset(x for x in g if 0 < x < 10_000) for g in groups.values()} >= {frozenset({1040, 1041})}
+    assert comp[2081] == comp[2082] == comp[2083] == comp[2084] and comp[2021] == comp[2022] != comp[2041] == comp[2043] != comp[2081]
