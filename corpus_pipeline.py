@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from corpuslens.llm import pii
 from corpuslens.llm.common import fresh_path, table, tokenizer, written
 from corpuslens.llm.language_id import identify, learn
-from corpuslens.llm.ngram_join import near_components
+from corpuslens.llm.ngram_join import SENT_ROWS, near_components
 from corpuslens.llm.sentencepiece_codec import encode
 from corpuslens.llm.source_mix import mix_sources, repeat_documents
 
@@ -49,10 +49,11 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
     """
     row = "__row"
     numbered = written(docs.withColumn(row, F.monotonically_increasing_id()), "numbered")
-    groups = near_components(numbered, keep=(row,))
+    groups = written(near_components(numbered, keep=(row,)).filter("doc_id IS NOT NULL"), "groups")
     first = groups.filter("doc_id = component_id").groupBy("component_id", "group_id", F.when(F.col("n_shingles") == 0, F.col(row)).alias("__empty")).agg(F.min(row).alias(row))
-    kept = numbered.join(first.select(row), row, "left_semi").select(docs.columns)
-    return kept.unionByName(docs.filter("doc_id IS NULL"))
+    gone = written(groups.select(row).join(first.select(row), row, "left_anti"), "gone")
+    gone = F.broadcast(gone) if gone.count() <= SENT_ROWS else gone  # the texts stay where they are
+    return numbered.join(gone, row, "left_anti").select(docs.columns)
 
 
 def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -77,6 +77,17 @@ def test_texts_that_share_an_id_are_documents_of_their_own(spark):
     assert got == {(5, "one text of this id"): 1, (5, "and here is another text"): 1, (7, long): 1, (7, "seven has this too"): 1, (8, ""): 2, (None, long): 1, (None, ""): 1}
 
 
+@pytest.mark.parametrize("sent", [1000, 0])
+def test_dropped_rows_go_to_the_texts_where_few(spark, monkeypatch, sent):
+    """Texts are not shuffled to lose their copies; with many dropped rows the result is the same."""
+    monkeypatch.setattr(cp, "SENT_ROWS", sent)
+    docs = spark.createDataFrame([(i, f"text number {i // 2} of a few", "xx") for i in range(40)] + [(None, "no id", "xx")] * 2, "doc_id long, text string, lang string").repartition(3)
+    out = cp.near_duplicates(spark, docs, "unused")
+    assert sorted(r["doc_id"] or -1 for r in out.collect()) == [-1, -1, -1, *range(2, 40, 2)]
+    plan = out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert not sent or not any("Exchange" in x and "text" in x for x in plan.splitlines())
+
+
 def test_a_table_without_languages_keeps_its_texts(spark):
     docs = spark.createDataFrame([(1, "some words", None), (2, "1 2", None), (3, None, None)], "doc_id long, text string, lang string")
     assert [r["doc_id"] for r in cp.language(spark, docs, "unused").collect()] == [1]
