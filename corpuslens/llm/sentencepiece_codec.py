@@ -31,6 +31,7 @@ from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -38,7 +39,8 @@ from corpuslens.llm.common import chunks
 from corpuslens.llm.token_count import NO_RANK, PairTable
 
 MARK = "▁"
-CHUNK_CHARS = 1 << 21
+#: Bytes of text taken from a batch and encoded at once, and words that a task remembers.
+CHUNK_BYTES = 1 << 20
 CACHED = 300_000
 SLOT_BITS = 19
 #: Fixed values of the model file format.
@@ -330,11 +332,12 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
         for batch in batches:
-            texts = [t or "" for t in batch.column("text").to_pylist()]
-            for i, j in chunks([len(t) for t in texts], CHUNK_CHARS):
-                ids, sizes = codec.encode(texts[i:j])
+            column = batch.column("text")
+            for i, j in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), CHUNK_BYTES):
+                texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
+                ids, sizes = codec.encode(texts)
                 ends = np.cumsum(sizes)
-                same = [codec.decode(ids[e - n : e].tolist()) == t for t, e, n in zip(texts[i:j], ends.tolist(), sizes.tolist(), strict=True)]
+                same = [codec.decode(ids[e - n : e].tolist()) == t for t, e, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
 
