@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import chunks, spread_join, written
+from corpuslens.llm.common import chunks, spare, spread_join, written
 
 CHUNK_BYTES = 1 << 20
 #: Frequencies from which an n-gram's chain is salted, in all and inside large clusters; sets and n-grams that meet in a task.
@@ -192,7 +192,7 @@ def _profiles(n: int, bits: int, keep: tuple[str, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(n), np.zeros(1 << bits, np.uint32)
-        for batch in batches:
+        for batch in spare(batches):
             for i, j, texts in _texts(batch, "text"):
                 sets = shingler.sets(texts)
                 grams = np.concatenate(sets)
@@ -280,7 +280,7 @@ def _prefixes(n: int, bits: int, percent: int, extra: int, order):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank, seen = Shingler(n), order.value, set()
-        for batch in batches:
+        for batch in spare(batches):
             for _, _, texts in _texts(batch, "text"):
                 sets, nodes, every = [], [], shingler.sets(texts)
                 for s, node, other in zip(every, *(x.tolist() for x in set_names(every)), strict=True):
@@ -565,7 +565,7 @@ def _grams(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for batch in batches:
+        for batch in spare(batches):
             for i, j, texts in _texts(batch, "text"):
                 sets = shingler.sets(texts)
                 rows = batch.slice(i, j - i)

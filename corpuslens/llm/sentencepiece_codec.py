@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import chunks
+from corpuslens.llm.common import chunks, spare
 from corpuslens.llm.token_count import NO_RANK, PairTable
 
 MARK = "▁"
@@ -331,7 +331,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
-        for batch in batches:
+        for batch in spare(batches):
             column = batch.column("text")
             for i, j in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), CHUNK_BYTES):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]

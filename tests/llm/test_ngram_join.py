@@ -143,3 +143,20 @@ def test_sizes_that_no_link_allows_are_not_chained(spark):
         groups.setdefault(c, set()).add(node)
     assert {frozenset(x for x in g if 0 < x < 10_000) for g in groups.values()} >= {frozenset({1040, 1041})}
     assert comp[2081] == comp[2082] == comp[2083] == comp[2084] and comp[2021] == comp[2022] != comp[2041] == comp[2043] != comp[2081]
+
+
+def test_spare_gives_arrows_memory_back(monkeypatch):
+    import pyarrow as pa
+
+    from corpuslens.llm import common
+
+    class Pool:
+        calls = 0
+
+        def release_unused(self):
+            self.calls += 1
+
+    pool = Pool()
+    monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
+    batches = [pa.record_batch([pa.array([i])], names=["x"]) for i in range(3)]
+    assert list(common.spare(iter(batches))) == batches and pool.calls >= 3
