@@ -173,3 +173,23 @@ def test_candidates_begin_at_every_place(spark):
     assert [got[1000 + i] for i in range(4)] == ["card:23:42,phone:5:22", "card:5:24", "card:5:24", ""]
     learned = {r["doc_id"]: r["spans"] for r in pii.detect(docs).collect()}
     assert learned[1000] == "card:23:42,phone:5:22" and learned[1001] == "card:5:24" and learned[1003] == ""
+
+
+def test_the_trees_are_fitted_on_every_document(spark):
+    """Addresses stand only in documents that a sample of 20,000 by hash of id leaves out."""
+    rare = F.pmod(F.xxhash64("doc_id"), F.lit(2**30)) >= int(2**30 * 20_000 / 25_000)
+    said = F.when(rare & (F.col("doc_id") % 8 == 0), F.format_string("write to user%d@example.org today", F.col("doc_id"))).when(F.col("doc_id") % 8 == 1, F.format_string("see x@y%d there", "doc_id")).otherwise("nothing")
+    docs = spark.range(24_999).withColumnRenamed("id", "doc_id").withColumn("text", said)
+    asked = spark.createDataFrame([(10**6, "write to joe [at] example [dot] org today"), (10**6 + 1, None)], "doc_id long, text string")
+    docs = docs.unionByName(asked)
+    assert pii.KINDS.index("email") in pii.train(docs).thresholds
+    got = {r["doc_id"]: (r["spans"], r["n_added"]) for r in pii.detect(docs).filter("doc_id >= 1000000").collect()}
+    assert got == {10**6: ("email:9:35", 1), 10**6 + 1: ("", 0)}
+
+
+def test_texts_let_go_before_training_have_no_case():
+    """What a cheap condition refuses, no pattern meets."""
+    for text in [t for t in texts() if t and len(t) < 20_000] + ["joe {AT} x (dot) y", "a@b", "(555) 123-4567", "10 [.] 0[.]0[.]1", "+", "a at b.c", "(at) b"]:
+        loose = [k for k in pii.KINDS if re.search(pii.LOOSE[k], text)]
+        assert all(re.search(pii.LOOSE_NEEDS[k], text) for k in loose)
+        assert re.search(pii.ANY_NEED, text) or not loose and not any(re.search(p, text) for p in (*PLAIN.values(), r"[^\s@]+@[^\s@]+", r"\+[0-9]"))
