@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import chunks
+from corpuslens.llm.common import chunks, light
 
 DIMENSIONS = 1024
 N = 3
@@ -143,7 +143,7 @@ def learn(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang:
     rows = usable.count()
     if rows > sample_docs:
         usable = usable.filter(F.pmod(F.xxhash64(key), F.lit(2**30)) < int(2**30 * sample_docs / rows))
-    parts = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("text IS NOT NULL").mapInArrow(_learn, "lang string, place int, part long")
+    parts = usable.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("text IS NOT NULL").mapInArrow(light(_learn), "lang string, place int, part long")
     rows = parts.groupBy("lang", "place").agg(F.sum("part").alias("part")).collect()  # languages of the sample x dimensions
     out: dict[str, np.ndarray] = {}
     for r in rows:
@@ -175,7 +175,7 @@ def identify(docs: DataFrame, prototypes: dict[str, np.ndarray], *, keep: tuple[
 
     rows = docs.select(*keep, F.col(text).alias("__text"))
     types = [f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema.fields[: len(keep)]]
-    return rows.mapInArrow(run, ", ".join([*types, f"`{lang_as}` string", f"`{score_as}` double"]))
+    return rows.mapInArrow(light(run), ", ".join([*types, f"`{lang_as}` string", f"`{score_as}` double"]))
 
 
 def identify_language(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", lang: str = "lang") -> DataFrame:

@@ -50,7 +50,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from corpuslens.llm.common import chunks, spare, spread_join, written
+from corpuslens.llm.common import chunks, give_back, light, spread_join, written
 
 CHUNK_BYTES = 1 << 20
 #: Frequencies from which an n-gram's chain is salted, in all and inside large clusters; sets and n-grams that meet in a task.
@@ -166,6 +166,7 @@ def _texts(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, list[
     sizes = np.diff(np.frombuffer(col.buffers()[1], np.int64)[col.offset : col.offset + len(col) + 1]).tolist() if len(col) else []
     for i, j in chunks(sizes, CHUNK_BYTES):
         yield i, j, [x or b"" for x in col.slice(i, j - i).to_pylist()]
+        give_back()
 
 
 PROFILE = "doc_id long, n long, node long, other long, part int, counts binary"
@@ -192,7 +193,7 @@ def _profiles(n: int, bits: int, keep: tuple[str, ...]):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, counts = Shingler(n), np.zeros(1 << bits, np.uint32)
-        for batch in spare(batches):
+        for batch in batches:
             for i, j, texts in _texts(batch, "text"):
                 sets = shingler.sets(texts)
                 grams = np.concatenate(sets)
@@ -235,8 +236,8 @@ def _summed(bits: int, last: bool):
 def frequency_order(profiles: DataFrame, bits: int) -> np.ndarray:
     """The counters of all tasks, summed by readers and then by part; ``2**bits`` bytes."""
     spread = profiles.filter("part IS NOT NULL").select("part", "counts")
-    summed = spread.mapInArrow(_summed(bits, False), "part int, counts binary").repartition("part").sortWithinPartitions("part")
-    rows = summed.mapInArrow(_summed(bits, True), "part int, counts binary").collect()  # PARTS rows
+    summed = spread.mapInArrow(light(_summed(bits, False)), "part int, counts binary").repartition("part").sortWithinPartitions("part")
+    rows = summed.mapInArrow(light(_summed(bits, True)), "part int, counts binary").collect()  # PARTS rows
     order, step = np.zeros(1 << bits, np.uint8), (1 << bits) // PARTS
     for r in rows:
         order[r["part"] * step : (r["part"] + 1) * step] = np.frombuffer(zlib.decompress(r["counts"]), np.uint8)
@@ -280,7 +281,7 @@ def _prefixes(n: int, bits: int, percent: int, extra: int, order):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, rank, seen = Shingler(n), order.value, set()
-        for batch in spare(batches):
+        for batch in batches:
             for _, _, texts in _texts(batch, "text"):
                 sets, nodes, every = [], [], shingler.sets(texts)
                 for s, node, other in zip(every, *(x.tolist() for x in set_names(every)), strict=True):
@@ -383,9 +384,9 @@ def components(edges: DataFrame, bound: int = EDGES) -> DataFrame:
 
 def _labels(edges: DataFrame, bound: int, turn: int) -> tuple[DataFrame, bool]:
     """(node, comp) with one comp for each component, and whether it is the smallest node."""
-    stars = written(edges.mapInArrow(_forest(("a", "b"), False), "a long, b long"), "stars")
+    stars = written(edges.mapInArrow(light(_forest(("a", "b"), False)), "a long, b long"), "stars")
     if stars.count() <= bound:
-        return written(stars.coalesce(1).mapInArrow(_forest(("node", "comp"), True), "node long, comp long"), "labels"), True
+        return written(stars.coalesce(1).mapInArrow(light(_forest(("node", "comp"), True)), "node long, comp long"), "labels"), True
     both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
     first = lambda c: F.struct(F.xxhash64(c, F.lit(turn)).alias("h"), F.col(c).alias("v"))
     hooks = both.groupBy(F.col("a").alias("node")).agg(F.count("*").alias("k"), F.min(first("b")).alias("near"))
@@ -554,7 +555,7 @@ def _joined_units(percent: int):
 
 def _links(units: DataFrame, percent: int) -> DataFrame:
     dealt = units.repartition("unit", "part").sortWithinPartitions("unit", "part", "class")
-    return dealt.mapInArrow(_joined_units(percent), "a long, b long, rep long")
+    return dealt.mapInArrow(light(_joined_units(percent)), "a long, b long, rep long")
 
 
 KEPT = ["class", "rep", "cluster", "m", "blocks"]
@@ -565,7 +566,7 @@ def _grams(n: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler = Shingler(n)
-        for batch in spare(batches):
+        for batch in batches:
             for i, j, texts in _texts(batch, "text"):
                 sets = shingler.sets(texts)
                 rows = batch.slice(i, j - i)
@@ -581,7 +582,7 @@ def _units(docs: DataFrame, members: DataFrame, n: int) -> DataFrame:
     if members.count() <= SENT_ROWS:
         members = F.broadcast(members)
     texts = docs.withColumnRenamed("doc_id", "rep").join(members, "rep").select(*KEPT, "node", "other", "text")
-    return texts.mapInArrow(_grams(n), "class long, rep long, cluster long, m long, blocks long, grams binary")
+    return texts.mapInArrow(light(_grams(n)), "class long, rep long, cluster long, m long, blocks long, grams binary")
 
 
 def _sized(members: DataFrame, unit_sets: int, unit_grams: int) -> tuple[DataFrame, int]:
@@ -634,8 +635,8 @@ def _split(large: DataFrame, percent: int, extra: int, edges: int) -> DataFrame:
     grams = large.agg(F.sum(F.octet_length("grams").cast("long"))).first()[0] // 8
     bits = int(np.clip(2 + np.ceil(np.log2(max(1, grams))), LEAST_BITS, MOST_BITS))
     sets = large.select("class", "cluster", "grams")
-    order = large.sparkSession.sparkContext.broadcast(frequency_order(sets.mapInArrow(_counted(bits), "part int, counts binary"), bits))
-    found = _clustered(sets.mapInArrow(_own_prefixes(bits, percent, extra, order), ENTRY), percent, extra, edges)
+    order = large.sparkSession.sparkContext.broadcast(frequency_order(sets.mapInArrow(light(_counted(bits)), "part int, counts binary"), bits))
+    found = _clustered(sets.mapInArrow(light(_own_prefixes(bits, percent, extra, order)), ENTRY), percent, extra, edges)
     found = found.select(F.col("node").alias("class"), F.col("comp").alias("cluster"))
     found = F.broadcast(found) if found.count() <= SENT_ROWS else found
     return large.select("class", "rep", "grams").join(found, "class").withColumn("n", (F.octet_length("grams") / 8).cast("long"))
@@ -654,14 +655,14 @@ def near_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     if bits is None:
         bits = int(np.clip(16 + np.ceil(np.log2(max(1, plain.rdd.getNumPartitions()))), LEAST_BITS, MOST_BITS))
     as_bytes = plain.select("doc_id", F.col("text").cast("binary").alias("text"), *keep)
-    profiles = written(as_bytes.mapInArrow(_profiles(n, bits, keep), ", ".join([PROFILE, *(f"`{c}` long" for c in keep)])), "profiles")
+    profiles = written(as_bytes.mapInArrow(light(_profiles(n, bits, keep)), ", ".join([PROFILE, *(f"`{c}` long" for c in keep)])), "profiles")
     as_bytes = as_bytes.select("doc_id", "text")
     order = spark.sparkContext.broadcast(frequency_order(profiles, bits))  # 2**bits bytes, 4 MB at most
     rows = profiles.filter("part IS NULL").select("doc_id", "n", "node", "other", *keep)
     classes = rows.filter("n > 0").groupBy("node", "other").agg(F.min("doc_id").alias("rep"), F.first("n").alias("n"), F.count("*").alias("k"))
     classes = written(classes.withColumn("class", F.monotonically_increasing_id()), "classes")
 
-    entries = as_bytes.select("text").mapInArrow(_prefixes(n, bits, percent, extra, order), ENTRY)
+    entries = as_bytes.select("text").mapInArrow(light(_prefixes(n, bits, percent, extra, order)), ENTRY)
     clusters = _clustered(entries, percent, extra, edges)
 
     members = written(clusters.withColumnRenamed("comp", "cluster").join(classes.filter("rep IS NOT NULL"), "node"), "members")

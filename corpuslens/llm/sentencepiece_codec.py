@@ -35,7 +35,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from corpuslens.llm.common import chunks, spare
+from corpuslens.llm.common import chunks, give_back, light
 from corpuslens.llm.token_count import NO_RANK, PairTable
 
 MARK = "▁"
@@ -331,7 +331,7 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codec = Codec(model)
-        for batch in spare(batches):
+        for batch in batches:
             column = batch.column("text")
             for i, j in chunks(pc.fill_null(pc.binary_length(column), 0).to_pylist(), CHUNK_BYTES):
                 texts = [t or "" for t in column.slice(i, j - i).to_pylist()]
@@ -340,9 +340,10 @@ def encode(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "t
                 same = [codec.decode(ids[e - n : e].tolist()) == t for t, e, n in zip(texts, ends.tolist(), sizes.tolist(), strict=True)]
                 lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], ends)).astype(np.int32)), pa.array(ids))
                 yield pa.record_batch([batch.column("doc_id").slice(i, j - i), lists, pa.array(sizes), pa.array(same, pa.bool_())], names=["doc_id", "ids", "n_ids", "round_trip"])
+                give_back()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids long, round_trip boolean")
+    return rows.mapInArrow(light(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, ids array<int>, n_ids long, round_trip boolean")
 
 
 def decode(coded: DataFrame, path: str, *, doc_id: str = "doc_id", ids: str = "ids") -> DataFrame:
@@ -357,4 +358,4 @@ def decode(coded: DataFrame, path: str, *, doc_id: str = "doc_id", ids: str = "i
             yield pa.record_batch([batch.column("doc_id"), pa.array(texts, pa.string())], names=["doc_id", "text"])
 
     rows = coded.select(F.col(doc_id).alias("doc_id"), F.col(ids).alias("ids"))
-    return rows.mapInArrow(run, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")
+    return rows.mapInArrow(light(run), f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, text string")

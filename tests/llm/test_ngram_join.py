@@ -160,3 +160,49 @@ def test_spare_gives_arrows_memory_back(monkeypatch):
     monkeypatch.setattr(common.pa, "default_memory_pool", lambda: pool)
     batches = [pa.record_batch([pa.array([i])], names=["x"]) for i in range(3)]
     assert list(common.spare(iter(batches))) == batches and pool.calls >= 3
+
+
+def test_a_worker_holds_nothing_of_a_task_that_has_ended(monkeypatch):
+    import weakref
+
+    import numpy as np
+    import pyarrow as pa
+
+    from corpuslens.llm import common
+
+    class Table:
+        def __init__(self):
+            self.rows = np.zeros(1 << 20)
+
+    held, alive = [], []
+
+    def run(batches):
+        table = Table()
+        held.append(weakref.ref(table))
+        yield from batches
+
+    monkeypatch.setattr(common, "give_back", lambda: alive.append(held[0]() is not None))
+    batches = [pa.record_batch([pa.array([i])], names=["x"]) for i in range(3)]
+    assert list(common.light(run)(iter(batches))) == batches
+    assert alive[0] and not alive[-1]
+
+
+def test_freed_blocks_between_others_go_back_to_the_system():
+    import re
+    import subprocess
+    import sys
+    from pathlib import Path
+
+    said = (
+        "import re, numpy as np\n"
+        "from corpuslens.llm.common import give_back\n"
+        "mb = lambda: int(re.search(r'RssAnon:\\s+(\\d+)', open('/proc/self/status').read())[1]) / 1024\n"
+        "blocks = [np.ones(8_000) for _ in range(2_000)]\n"
+        "kept = blocks[::10]\n"
+        "del blocks\n"
+        "before = mb()\n"
+        "give_back()\n"
+        "print(before - mb())\n"
+    )
+    out = subprocess.run([sys.executable, "-c", said], capture_output=True, text=True, cwd=Path(__file__).resolve().parents[2], timeout=60, check=True).stdout
+    assert re.match(r"[\d.]+$", out) and float(out) > 60
