@@ -1,9 +1,14 @@
 """SentencePiece encoding and decoding by batched numpy Viterbi.
 
-A batch's distinct words (runs of the space mark with what follows) are sorted by length;
-words of equal length advance together, one character at a time. Hashes of the substrings
-that end there probe the sorted hashes of the pieces, and vectorised maxima over the
-pieces' starts are stored as back pointers.
+A batch's distinct words are sorted by length; words of like length advance together, one
+character at a time, and leave when they end. Hashes of the substrings that end there probe
+a table of the pieces' hashes, and vectorised maxima over the pieces' starts are stored as
+back pointers.
+
+Words are what no piece crosses. Characters are of one class if they are linked by pieces
+that have them side by side; a word is a run of one class, with the space marks before it
+if some piece has a mark before that class. So most punctuation, digits and rare characters
+are words of their own, and there are fewer distinct words to encode and to remember.
 
 For a unigram model the maximum is of the summed scores. A BPE model's result is not a
 best sum, so there the maximum is taken over the pieces that byte-pair merging could put
@@ -27,7 +32,7 @@ from __future__ import annotations
 import re
 import struct
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, islice, pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -39,9 +44,11 @@ from corpuslens.llm.common import chunks, give_back, light
 from corpuslens.llm.token_count import NO_RANK, PairTable
 
 MARK = "▁"
-#: Bytes of text taken from a batch and encoded at once, and words that a task remembers.
+#: Bytes of text taken from a batch and encoded at once, words that a task remembers, and
+#: characters that advance together.
 CHUNK_BYTES = 1 << 20
 CACHED = 300_000
+BLOCK_CHARS = 1 << 16
 SLOT_BITS = 19
 #: Fixed values of the model file format.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
@@ -105,8 +112,7 @@ class Model:
         usable = np.array([k == NORMAL and len(p) > 0 for k, p in zip(kinds, self.pieces, strict=True)])
         self.longest = max((len(p) for p, u in zip(self.pieces, usable, strict=True) if u), default=1)
         self.split_words = not any(MARK in p.lstrip(MARK) for p, u in zip(self.pieces, usable, strict=True) if u)
-        apart = "".join(c for c in "\n\r\t" if not any(c in p for p, u in zip(self.pieces, usable, strict=True) if u)) if self.unknown_alone() else ""
-        self.word = re.compile(f"{MARK}*[^{MARK}{apart}]+|{MARK}+|[{apart}]" if apart else f"{MARK}*[^{MARK}]+|{MARK}+")
+        self.word = re.compile(self._word_pattern([p for p, u in zip(self.pieces, usable, strict=True) if u]))
         self.unknown_score = min((s for s, u in zip(scores, usable, strict=True) if u), default=0.0) - 10
         if self.kind == BPE:
             usable = self._merges(usable)
@@ -119,6 +125,41 @@ class Model:
         """Whether unknown characters stand apart: as bytes, a run of them is not one piece."""
         return self.bytes is not None
 
+    def _word_pattern(self, pieces: list[str]) -> str:
+        """Words for models whose pieces have marks only at their beginning.
+
+        Characters that are no piece by themselves count with the unknown ones, which stand
+        apart or in runs.
+        """
+        bodies = [p.lstrip(MARK) for p in pieces]
+        up = dict.fromkeys(chain.from_iterable(bodies))
+
+        def top(c: str) -> str:
+            while up[c] is not None:
+                c = up[c]
+            return c
+
+        links = {pair for body in bodies for pair in pairwise(body)}
+        strange = sorted(up.keys() - {p for p in pieces if len(p) == 1})
+        for a, b in chain(sorted(links), pairwise(strange)):
+            a, b = top(a), top(b)
+            if a != b:
+                up[a] = b
+        classes: dict[str, list[str]] = {}
+        for c in up:
+            classes.setdefault(top(c), []).append(c)
+        rest = classes.pop(top(strange[0]), []) if strange else []
+        marked = {top(body[0]) for p, body in zip(pieces, bodies, strict=True) if body and p != body}
+        joined = {top(a) for a, _ in links}
+        kinds: dict[tuple[str, str], list[str]] = {}
+        for name, chars in classes.items():
+            own = name if name in joined else ""  # characters that nothing joins share a set
+            kinds.setdefault((f"{MARK}*" if name in marked else "", own), []).extend(chars)
+        parts = [f"{before}[{''.join(map(re.escape, sorted(chars)))}]{'+' if own else ''}" for (before, own), chars in kinds.items()]
+        held = "".join(map(re.escape, sorted(chain.from_iterable(kinds.values()))))
+        parts.append(f"[^{MARK}{held}]" if self.unknown_alone() and not rest else f"{MARK}*[^{MARK}{held}]+")
+        return "|".join([*parts, f"{MARK}+"])
+
     @staticmethod
     def _key(piece: str) -> int:
         h = 0
@@ -188,71 +229,85 @@ class Model:
 
     def encode_words(self, words: list[str]) -> list[np.ndarray]:
         """The ids of each word's pieces."""
-        out: list[np.ndarray] = [np.zeros(0, np.int32)] * len(words)
-        by_size: dict[int, list[int]] = {}
-        for i, w in enumerate(words):
-            by_size.setdefault(len(w), []).append(i)
-        for size, rows in by_size.items():
-            step = max(1, (1 << 18) // max(size, 1))
-            for k in range(0, len(rows), step):
-                part = rows[k : k + step]
-                for i, ids in zip(part, self._viterbi([words[i] for i in part], size), strict=True):
-                    out[i] = ids
-        return out
-
-    def _viterbi(self, words: list[str], size: int) -> list[np.ndarray]:
-        n = len(words)
-        codes = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32).reshape(n, size)
-        power = np.cumprod(np.concatenate((np.ones(1, U), np.full(size, U(_BASE)))))
-        hashes = np.zeros((n, size + 1), U)
-        for i in range(size):
-            hashes[:, i + 1] = hashes[:, i] * U(_BASE) + codes[:, i] + U(1)
+        flat, starts, sizes = self.encode_flat(words)
+        return [flat[i : i + n] for i, n in zip(starts.tolist(), sizes.tolist(), strict=True)]
+
+    def encode_flat(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The ids of all words, where each word's begin among them, and how many they are."""
+        lengths = np.fromiter(map(len, words), np.int64, len(words))
+        order = np.argsort(-lengths, kind="stable")
+        shorter = -lengths[order]
+        found, counts = [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+        at = 0
+        while at < len(words):
+            longest = -int(shorter[at])
+            alike = int(np.searchsorted(shorter, -(longest // 2), "left"))  # these are more than half as long
+            part = order[at : min(alike, at + max(1, BLOCK_CHARS // longest))]
+            ids, sizes = self._viterbi([words[i] for i in part.tolist()], lengths[part])
+            found.append(ids)
+            counts.append(sizes)
+            at += len(part)
+        sizes = np.concatenate(counts)
+        out = np.empty((2, len(words)), np.int64)
+        out[:, order] = np.cumsum(sizes) - sizes, sizes
+        return np.concatenate(found), out[0], out[1]
+
+    def _probe(self, hashes: np.ndarray) -> np.ndarray:
+        """The piece with each hash, or -1."""
+        if not hasattr(self, "table"):
+            self.table, self.held = PairTable(self.keys.view(np.int64)), np.append(self.ids, -1)
+        at = self.table.find(hashes.ravel().view(np.int64))
+        return self.held[np.minimum(at, len(self.ids))].reshape(hashes.shape)
+
+    def _viterbi(self, words: list[str], lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and how many belong to each; the longest words come first."""
+        n, size = len(words), int(lengths[0])
+        word = np.repeat(np.arange(n), lengths)
+        codes = np.zeros((size, n), np.uint32)
+        codes[np.arange(len(word)) - np.repeat(np.cumsum(lengths) - lengths, lengths), word] = np.frombuffer("".join(words).encode("utf-32-le", "surrogatepass"), np.uint32)
+        power = np.cumprod(np.concatenate((np.ones(1, U), np.full(min(size, self.longest), U(_BASE)))))
+        score = np.append(self.scores, self.unknown_score) if self.kind == UNIGRAM else None
+        hashes = np.zeros((size + 1, n), U)
         unknown = len(self.pieces)
-        last = np.full((n, size + 1), -1, np.int64)
-        back = np.zeros((n, size + 1), np.int32)
-        best = np.full((n, size + 1), -np.inf)
-        best[:, 0] = 0
+        last = np.full((size + 1, n), -1, np.int32)
+        last[0] = 0
+        back = np.zeros((size + 1, n), np.int32)
+        best = np.zeros((size + 1, n)) if self.kind == UNIGRAM else None
+        live = np.searchsorted(-lengths, -np.arange(size + 1), "right").tolist()
         for end in range(1, size + 1):
-            starts = np.arange(end - 1, max(-1, end - 1 - self.longest), -1)
-            h = hashes[:, end, None] - hashes[:, starts] * power[end - starts]
-            at = np.minimum(np.searchsorted(self.keys, h), len(self.keys) - 1)
-            piece = np.where(self.keys[at] == h, self.ids[at], -1)
-            piece[:, 0] = np.where(piece[:, 0] < 0, unknown, piece[:, 0])
-            known = piece >= 0
+            k, first = live[end], max(0, end - self.longest)
+            hashes[end, :k] = hashes[end - 1, :k] * U(_BASE) + codes[end - 1, :k] + U(1)
+            before = slice(end - 1, first - 1 if first else None, -1)  # starts, the last one first
+            piece = self._probe(hashes[end, :k] - hashes[before, :k] * power[1 : end - first + 1, None])
+            piece[0, piece[0] < 0] = unknown
             if self.kind == UNIGRAM:
-                score = np.append(self.scores, self.unknown_score)[np.where(known, piece, 0)]
-                value = np.where(known, best[:, starts] + score, -np.inf)
-            else:
-                value = np.where(known, (end - starts).astype(np.float64), -np.inf)
-                row, col = np.nonzero(known & (starts > 0) & (last[:, starts] >= 0))
-                value[known & (starts > 0) & (last[:, starts] < 0)] = -np.inf
-                if len(row):
-                    a, b = last[row, starts[col]], piece[row, col]
-                    fits = self._fits(a << 24 | b)
-                    value[row[~fits], col[~fits]] = -np.inf
-            top = value.argmax(axis=1)
-            rows = np.arange(n)
-            best[:, end] = value[rows, top]
-            last[:, end] = np.where(value[rows, top] > -np.inf, piece[rows, top], -1)
-            back[:, end] = starts[top]
-        found, at = [], np.full(n, size)
-        while (at > 0).any():
-            live = at > 0
-            rows = np.flatnonzero(live)
-            found.append((rows, last[rows, at[rows]], at[rows]))
-            at[rows] = back[rows, at[rows]]
-        row = np.concatenate([f[0] for f in found])
-        piece = np.concatenate([f[1] for f in found])
-        end = np.concatenate([f[2] for f in found])
-        order = np.lexsort((end, row))
-        row, piece, end = row[order], piece[order], end[order]
-        cut = np.searchsorted(row, np.arange(1, n))
-        out = np.split(piece.astype(np.int32), cut)
-        strange = np.unique(row[piece == unknown]).tolist()
-        ends = np.split(end, cut) if strange else []
-        for i in strange:
-            out[i] = self._with_unknown(words[i], out[i], ends[i])
-        return out
+                value = np.where(piece >= 0, best[before, :k] + score[np.maximum(piece, 0)], -np.inf)
+                top, rows = value.argmax(axis=0), np.arange(k)
+                best[end, :k], last[end, :k], back[end, :k] = value[top, rows], piece[top, rows], end - 1 - top
+                continue
+            step, row = np.nonzero((piece >= 0) & (last[before, :k] >= 0))
+            piece, start = piece[step, row], end - 1 - step
+            fits = start == 0
+            inner = np.flatnonzero(~fits)
+            fits[inner] = self._fits(last[start[inner], row[inner]].astype(np.int64) << 24 | piece[inner])
+            row = row[fits]
+            last[end, row], back[end, row] = piece[fits], start[fits]  # of several the longest, which comes last
+        cut = np.zeros((n, size + 1), bool)
+        row, at = np.arange(n), lengths
+        while row.size:
+            cut[row, at] = True
+            at = back[at, row]
+            row, at = row[at > 0], at[at > 0]
+        row, end = np.nonzero(cut)
+        ids, sizes = last[end, row], np.bincount(row, minlength=n)
+        strange = np.unique(row[ids == unknown]).tolist()
+        if strange:
+            borders = np.cumsum(sizes)[:-1]
+            parts, ends = np.split(ids, borders), np.split(end, borders)
+            for i in strange:
+                parts[i] = self._with_unknown(words[i], parts[i], ends[i])
+            ids, sizes = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, sizes
 
     def _with_unknown(self, word: str, pieces: np.ndarray, ends: np.ndarray) -> np.ndarray:
         ids: list[int] = []
@@ -288,6 +343,14 @@ class Model:
         return out
 
 
+class Numbers(dict):
+    """The number of each word, given when it is first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
+
+
 class Codec:
     """Encoding and decoding of batches, remembering words."""
 
@@ -296,7 +359,7 @@ class Codec:
         self._forget()
 
     def _forget(self) -> None:
-        self.known: dict[str, int] = {}
+        self.known = Numbers()
         self.flat, self.starts, self.sizes = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64)
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
@@ -304,15 +367,13 @@ class Codec:
         if len(self.known) > CACHED:
             self._forget()
         words = [self.model.words(self.model.normal(t)) for t in texts]
-        fresh = [*dict.fromkeys(w for ws in words for w in ws if w not in self.known)]
+        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+        fresh = [*islice(self.known, len(self.sizes), None)]
         if fresh:
-            coded = self.model.encode_words(fresh)
-            self.known.update(zip(fresh, range(len(self.sizes), len(self.sizes) + len(fresh)), strict=True))
-            sizes = np.array([len(c) for c in coded], np.int64)
-            self.starts = np.concatenate((self.starts, len(self.flat) + np.cumsum(sizes) - sizes))
+            flat, starts, sizes = self.model.encode_flat(fresh)
+            self.starts = np.concatenate((self.starts, len(self.flat) + starts))
             self.sizes = np.concatenate((self.sizes, sizes))
-            self.flat = np.concatenate((self.flat, *coded))
-        index = np.fromiter(map(self.known.__getitem__, chain.from_iterable(words)), np.int64)
+            self.flat = np.concatenate((self.flat, flat))
         sizes = self.sizes[index]
         ends = np.cumsum(sizes)
         total = int(ends[-1]) if len(ends) else 0

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from corpuslens.llm import ann, language_id, source_mix, topk, url_filter, warc_fixity
 from corpuslens.llm.common import tokenizer, written
-from corpuslens.llm.sentencepiece_codec import Model, decode, encode
+from corpuslens.llm.sentencepiece_codec import Codec, Model, decode, encode
 from corpuslens.llm.token_count import PairTable, count_tokens
 
 ODD = [None, "", " ", "\n\n", "a" * 3000, "the quick brown fox's don't 12345 3.14", "héllo ☃ 日本語 😀", "x▁y", "<s>hi</s><|endoftext|>", "\x00a\x1c", "  lead and trail  ", "aaa" * 700 + " end"]
@@ -258,6 +258,44 @@ def test_pieces_are_the_librarys(spark):
     assert encode(docs.limit(0), path).collect() == []
 
 
+def test_lattice_gets_each_word_once_whatever_stands_beside_it(monkeypatch):
+    import sentencepiece
+
+    path = tokenizer("piece_bpe_32k.model")
+    library = sentencepiece.SentencePieceProcessor(model_file=path)
+    rnd = random.Random(7)
+    words = ["".join(rnd.choice("abcdefghij") for _ in range(4 + i % 12)) for i in range(300)]
+    texts = [" ".join(f"{w}{rnd.choice(['', ',', '.', '!!', '%%%', ')', '7', '29', '日', '😀'])}" for w in rnd.sample(words, 300)) for _ in range(20)]
+    coded, plain = [], Model._viterbi
+    monkeypatch.setattr(Model, "_viterbi", lambda self, batch, *rest: coded.append(sum(map(len, batch))) or plain(self, batch, *rest))
+    codec = Codec(Model(path))
+    for text in texts:
+        ids, sizes = codec.encode([text])
+        assert ids.tolist() == library.encode(text, num_threads=1) and sizes.tolist() == [len(ids)]
+    assert sum(coded) <= sum(len(w) + 1 for w in words) + 50  # a mark before each word; punctuation, digits
+    assert len(coded) <= 40  # words of like length advance together
+
+
+@pytest.mark.parametrize("with_bytes", [True, False])
+def test_no_piece_crosses_words(with_bytes):
+    model = object.__new__(Model)
+    model.bytes = np.arange(256) if with_bytes else None
+    pieces = ["▁", "a", "b", "ab", "▁ab", ".", "..", "▁.", "-", "]", "^", "7", "x", "xy", "▁▁"]  # y is no piece by itself
+    word = re.compile(model._word_pattern(pieces))
+    rnd = random.Random(8)
+    for _ in range(500):
+        text = "".join(rnd.choice("▁▁aabb..-]^7xyyé\n😀") for _ in range(rnd.randrange(1, 30)))
+        found = word.findall(text)
+        assert "".join(found) == text
+        cuts = {len("".join(found[:k])) for k in range(1, len(found))}
+        for i in range(len(text)):
+            for p in pieces:
+                if text.startswith(p, i):
+                    assert not cuts & {*range(i + 1, i + len(p))}, (text, found)
+            if not with_bytes and i and not {text[i - 1], text[i]} & {*pieces}:
+                assert i not in cuts, (text, found)  # a run of unknown characters is one piece
+
+
 def test_unigram_viterbi_finds_the_best_sum():
     from itertools import combinations
 
